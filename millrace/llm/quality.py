@@ -33,8 +33,8 @@ UPPER = regex.compile(r"\p{Lu}+")
 
 #: What a labeller looks at, and where it votes: (name, bad from, good up to); between it passes.
 #: For the last four, small values are bad: (name, good from, bad below).
-HIGH = [("symbols", 0.05, 0.015), ("bare", 0.2, 0.05), ("top word", 0.3, 0.15), ("echo", 0.2, 0.02), ("same lines", 0.3, 0.05), ("long words", 0.5, 0.2), ("capitals", 0.5, 0.2), ("cries", 0.3, 0.1)]
-LOW = [("common", 0.05, 0.01), ("letters", 0.7, 0.55), ("stops", 0.01, 0.002), ("kinds", 0.3, 0.08)]
+HIGH = [("symbols", 0.05, 0.015), ("bare", 0.2, 0.05), ("top word", 0.3, 0.15), ("echo", 0.2, 0.02), ("same lines", 0.5, 0.3), ("long words", 0.5, 0.2), ("capitals", 0.5, 0.2), ("cries", 0.3, 0.1)]
+LOW = [("common", 0.05, 0.01), ("letters", 0.8, 0.7), ("stops", 0.01, 0.002), ("kinds", 0.3, 0.08)]
 NAMES = [name for name, *_ in HIGH + LOW]
 
 
@@ -65,7 +65,7 @@ def measures(text: str) -> list[float]:
         sum(map(len, UPPER.findall(text))) / letters if letters >= 20 else nan,
         text.count("!") / n if n >= 8 else nan,
         common / n if n >= 20 else nan,
-        letters / solid,
+        letters / solid if n >= 20 else nan,
         sum(text.count(c) for c in ".!?,") / solid if n >= 20 else nan,
         len(counts) / min(n, 400) if n >= 20 else nan,
     ]
@@ -92,13 +92,14 @@ def label_model(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     """Posterior of "good" for each pattern of votes, by expectation-maximisation.
 
     Every labeller has, for each true label, rates of voting good or bad where it does not pass; a pass
-    says nothing. Rates and the share of good documents are re-estimated from the posteriors until they settle. It starts from the
-    majority of votes, which also says which label is the good one.
+    says nothing. Rates and the share of good documents are re-estimated from the posteriors until
+    they settle. It starts from calling bad whatever any labeller calls bad, which also says which
+    of the two labels is the bad one.
     """
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
     v = np.array([[k // 3 ** (len(NAMES) - 1 - j) % 3 for j in range(len(NAMES))] for k in keys])
-    p = 1 / (1 + np.exp(-2.0 * ((v == GOOD).sum(1) - 2.0 * (v == BAD).sum(1))))
+    p = np.where((v == BAD).any(1), 0.1, 0.95)
     for _ in range(rounds):
         log = np.zeros((len(keys), 2))
         for y, q in enumerate((1 - p, p)):
