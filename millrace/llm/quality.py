@@ -32,9 +32,10 @@ ALPHA = regex.compile(r"\p{L}+")
 UPPER = regex.compile(r"\p{Lu}+")
 
 #: What a labeller looks at, and where it votes: (name, bad from, good up to); between it passes.
-#: For the last four, small values are bad: (name, good from, bad below).
+#: For the last four, small values are bad: (name, good from, bad below); two of them never say bad,
+#: as other languages have other words and stops.
 HIGH = [("symbols", 0.05, 0.015), ("bare", 0.2, 0.05), ("top word", 0.3, 0.15), ("echo", 0.2, 0.02), ("same lines", 0.5, 0.3), ("long words", 0.5, 0.2), ("capitals", 0.5, 0.2), ("cries", 0.3, 0.1)]
-LOW = [("common", 0.05, 0.01), ("letters", 0.8, 0.7), ("stops", 0.01, 0.002), ("kinds", 0.3, 0.08)]
+LOW = [("common", 0.05, -1), ("letters", 0.8, 0.7), ("stops", 0.01, -1), ("kinds", 0.3, 0.08)]
 NAMES = [name for name, *_ in HIGH + LOW]
 
 
