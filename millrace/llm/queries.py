@@ -133,3 +133,19 @@ select page_id, n::bigint as payload_bytes, payload_digest,
   case when first is null or page_id = first then null else first end::bigint as refers_to
 from b
 """
+
+
+ORACLE["op2_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id as x, vec_id as y from v union select r.x, l.y from reach r join links l on l.x = r.y),
+n as (select x, count(*) as n from links group by x),
+c as (select x, min(y) as c from reach group by x)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c.c, e.vec_id) as component_id, coalesce(c.c, e.vec_id) = e.vec_id as kept
+from embeddings e left join n on n.x = e.vec_id left join c on c.x = e.vec_id
+"""
