@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import cluster as c
+from ..operators import folds
 from ..operators import groups as g
 from .registry import query
 from .views import Views, joined
@@ -340,3 +341,25 @@ def sequence_verdict_stream(t: Views):
 def tail_count(t: Views):
     return t.events.groupBy((F.col("user_id") % 4).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
+
+TXN_EVENTS = """select 't' || cast(o_custkey % 40 as string) as txn_id, o_orderkey as arrival, cast(o_orderkey * 7 as bigint) as at,
+  case when o_orderkey % 11 = 0 then 'init' when o_orderkey % 11 < 4 then 'add_partition' when o_orderkey % 11 = 4 then 'add_offsets' when o_orderkey % 11 = 5 then 'stage'
+    when o_orderkey % 11 < 9 then 'append' when o_orderkey % 11 = 9 then 'commit' else 'abort' end as kind,
+  cast(-1 as bigint) as producer_id, cast(case when o_orderkey % 97 = 0 then 0 else -1 end as bigint) as epoch, cast(20000 as bigint) as timeout,
+  cast(o_orderkey % 3 as int) as part, 'g' || cast(o_orderkey % 2 as string) as group_id, o_orderkey as "offset" from orders"""
+
+
+@query("orders", "", skip_oracle=True)
+def txn_fold(t: Views):
+    return folds.fold_transactions(t.sql("orders", TXN_EVENTS))
+
+
+GROUP_EVENTS = """select 'g' || cast(o_custkey % 30 as string) as group_id, o_orderkey as arrival, cast(o_orderkey * 5 as bigint) as at,
+  case when o_orderkey % 5 < 2 then 'join' when o_orderkey % 5 = 2 then 'sync' when o_orderkey % 5 = 3 then 'heartbeat' else 'commit' end as kind,
+  case when o_orderkey % 5 = 0 then '' else 'member-' || cast(o_orderkey - o_orderkey % 5 as string) end as member_id, cast(o_orderkey % 4 as int) as generation,
+  cast(30000 as bigint) as session_timeout, cast(2000 as bigint) as rebalance_timeout, @['range', 'sticky'@] as protocols from orders"""
+
+
+@query("orders", "", skip_oracle=True)
+def group_fold(t: Views):
+    return folds.fold_groups(t.sql("orders", GROUP_EVENTS))
