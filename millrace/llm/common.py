@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -64,6 +65,12 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once for each application."""
     sc = spark.sparkContext

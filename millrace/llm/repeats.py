@@ -7,11 +7,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, prefix
-from .common import bounded_batches, chunks, materialise, release, ship
+from .common import bounded_batches, chunks, materialise, release, settle, ship
 
 #: Bytes that make a repeat.
 LENGTH = 200
@@ -184,8 +185,10 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     made = materialise(_candidates(docs, length), "anchors")
     places = F.xxhash64("c1", "c2", "lo")
     again = made.groupBy("h").agg(F.min(places).alias("p"), F.max(places).alias("q")).where("p <> q").select("h")
-    flagged = made.join(again, "h", "left_semi").distinct()
-    lists = flagged.groupBy("c1", "c2").agg(F.collect_list(F.struct("h", "lo", "n")).alias("spots"))
+    settle(docs.sparkSession)
+    # a hot hash splits this join: what follows is dealt out by content
+    flagged = made.join(again, "h", "left_semi")
+    lists = flagged.groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "lo", "n")).alias("spots"))
     schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("o", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("slice", pa.binary())])
 
     def cut(batches):
@@ -208,6 +211,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     slices = slices.withColumn("s1", F.xxhash64("slice")).withColumn("s2", F.xxhash64(F.lit(1), "slice"))
     slices = materialise(slices, "slices")
     release(made)
+    settle(docs.sparkSession)
 
     # equal slices of an anchor are one; where each first stands orders its windows
     where = F.struct("o", "c1", "c2", "lo")
@@ -270,23 +274,42 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
         "c1", "c2", "lo", "n",
         F.when(here > F.col("first"), full).otherwise(F.col("earlier")).alias("earlier"),
         F.when(here < F.col("last"), full).otherwise(F.col("later")).alias("later"),
-    ).where("earlier is not null or later is not null").distinct()
-    return marked.groupBy("c1", "c2").agg(F.collect_list(F.struct("lo", "n", "earlier", "later")).alias("marks"))
-
-
-def covered(size: int, marks: list, length: int, keep: str) -> np.ndarray:
-    """Bytes to remove, as a mask: those of the windows marked."""
-    delta = np.zeros(size + 1, np.int32)
-    for m in marks:
-        n = m["n"]
-        hit = np.zeros(n, bool)
-        for bits in (m["earlier"], m["later"] if keep == "none" else None):
-            if bits is not None:
-                hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) if len(bits) else True
-        starts = m["lo"] + np.flatnonzero(hit)
-        np.add.at(delta, starts, 1)
-        np.add.at(delta, starts + length, -1)
-    return np.cumsum(delta[:-1]) > 0
+    ).where("earlier is not null or later is not null")
+    return marked.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "n", "earlier", "later")).alias("marks"))
+
+
+def covered(sizes: np.ndarray, marks: pa.ListArray, length: int, keep: str) -> list[np.ndarray | None]:
+    """For each text the bytes to remove, as a mask, from its marks; None where there are none."""
+    n = np.array([0 if k is None else k for k in pc.list_value_length(marks).to_pylist()], np.int64)
+    bound = np.concatenate([[0], np.cumsum(n)])
+    flat = marks.flatten()
+    lo, runs = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("lo", "n"))
+    bits = [flat.field("earlier")] + [flat.field("later")] * (keep == "none")
+    lengths = [pc.fill_null(pc.binary_length(b), -1).to_numpy(zero_copy_only=False) for b in bits]
+    whole = np.zeros(len(flat), bool)
+    some = np.zeros(len(flat), bool)
+    for k in lengths:
+        whole |= k == 0
+        some |= k > 0
+    out: list[np.ndarray | None] = []
+    for i, size in enumerate(sizes):
+        a, b = bound[i], bound[i + 1]
+        if a == b:
+            out.append(None)
+            continue
+        w = whole[a:b]
+        first, last = [lo[a:b][w]], [lo[a:b][w] + runs[a:b][w] - 1]
+        for j in a + np.flatnonzero(some[a:b] & ~w):
+            hit = np.zeros(runs[j], bool)
+            for col, k in zip(bits, lengths, strict=True):
+                if k[j] > 0:
+                    hit |= np.unpackbits(np.frombuffer(col[j].as_buffer(), np.uint8), count=runs[j]).astype(bool)
+            starts = lo[j] + np.flatnonzero(hit)
+            first.append(starts)
+            last.append(starts)
+        delta = np.bincount(np.concatenate(first), minlength=size + 1)[: size + 1] - np.bincount(np.concatenate(last) + length, minlength=size + 1)[: size + 1]
+        out.append(np.cumsum(delta[:-1]) > 0)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length: int = LENGTH, keep: str = "first", result: str = "text") -> DataFrame:
@@ -318,14 +341,24 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     contents = materialise(contents.withColumnRenamed("c1", "x1").withColumnRenamed("c2", "x2"), "contents")
     single = rows.join(contents, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")) & (F.coalesce("id", F.lit(last)) == F.col("o")))
     starts = materialise(repeated_starts(single.select("c1", "c2", "o", "text"), length), "marks")
+    settle(spark)
     known = contents.join(starts, (F.col("x1") == F.col("c1")) & (F.col("x2") == F.col("c2")), "left").select("x1", "x2", "o", "copies", "marks")
+    if result == "text":  # the text travels once, within its row
+        rows = rows.select("doc", "id", "c1", "c2")
     joined = rows.join(known, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")), "left")
+    if result == "text":
+        joined = joined.withColumn("text", F.coalesce(F.col("doc").getField(text_col), F.lit("")))
     copy = (F.col("copies") > 1) if keep == "none" else (F.coalesce("id", F.lit(last)) > F.col("o"))
     joined = joined.select("doc", "id", "text", F.coalesce(copy, F.lit(False)).alias("copy"), "marks")
 
-    def left(raw: bytes, copy: bool, marks) -> tuple[np.ndarray, bytes]:
-        gone = np.ones(len(raw), bool) if copy else covered(len(raw), marks, length, keep) if marks else np.zeros(len(raw), bool)
-        return gone, np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
+    def left(texts: list, copies: list, marks: pa.ListArray):
+        """(bytes, mask of what goes or None, bytes left) of each text."""
+        raw = [t.encode("utf-8") for t in texts]
+        masks = covered(np.array([len(r) for r in raw]), marks, length, keep)
+        for r, copy, mask in zip(raw, copies, masks, strict=True):
+            if copy:
+                mask = np.ones(len(r), bool)
+            yield r, mask, r if mask is None else np.frombuffer(r, np.uint8)[~mask].tobytes()
 
     if result == "digest":
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -333,11 +366,11 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
         def run(batches):
             for batch in batches:
                 out = []
-                for i, text, copy, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    gone, kept = left(text.encode("utf-8"), copy, marks)
-                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((i, len(gone), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                for i, (raw, gone, kept) in zip(batch.column(0).to_pylist(), left(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)), strict=True):
+                    spans = 0 if gone is None else int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    out.append((i, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         return joined.select("id", "text", "copy", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -345,7 +378,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
 
     def cut(batches):
         for batch in batches:
-            texts = [left(t.encode("utf-8"), c, m)[1].decode("utf-8", "ignore") for t, c, m in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            texts = [kept.decode("utf-8", "ignore") for _, _, kept in left(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "cut"])
 
     done = joined.select("doc", "text", "copy", "marks").mapInArrow(cut, f"doc {kind}, cut string")
