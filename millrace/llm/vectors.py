@@ -15,7 +15,7 @@ from .components import components
 #: Vectors read on the driver to place the cell centres, and the centres at most.
 SAMPLE, MAX_CELLS = 4096, 512
 #: Vectors on each side of a block comparison, about.
-BLOCK = 4096
+BLOCK = 16384
 #: Standard deviations of the estimate within which a pair is computed exactly.
 DEVIATIONS = 8.0
 
@@ -52,14 +52,16 @@ def encode(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def may_link(codes, factor, other: np.ndarray, turn: np.ndarray, least: float, deviations: float):
     """Positions (code, other) whose estimated inner product may be ``least``.
 
-    With the code c and a = <x, c>, the estimate <c, y> / a of <x, y> is unbiased over rotations
-    and deviates by sqrt((1 - a^2) / a^2 / (d - 1)). Pairs below the bound are left; all others
-    must be computed exactly.
+    With the code c and a = <x, c>, the estimate <c, y> / a of <x, y> is unbiased over rotations. Of a
+    y with <x, y> = t only the part across x errs, so the estimate deviates by
+    sqrt(1 - t^2) sqrt((1 - a^2) / a^2 / (d - 1)), the less the larger t is. Pairs below the bound
+    for t = ``least`` are left; all others must be computed exactly. The error is never more
+    than sqrt(d - 1) deviations, so up to deviations^2 + 1 dimensions no pair is left wrongly.
     """
     d = other.shape[1]
     signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
     est = (signs @ (other.astype(np.float32) @ turn).T) / (math.sqrt(d) * factor[:, None])
-    wide = deviations * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, d - 1)) + 1e-4
+    wide = deviations * math.sqrt(1 - least**2) * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, d - 1)) + 1e-4
     return np.nonzero(est >= (least - wide)[:, None])
 
 
@@ -81,14 +83,36 @@ def centres(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
+def cells_of(x: np.ndarray, c: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each unit vector, and which cells may be home to a vector within the angle.
+
+    y has its home at c rather than at x's home h only if y(c - h) >= 0; x is at most ``slack`` from y, so
+    x(h - c) <= slack |h - c|.
+    """
+    near = x @ c.T
+    home = near.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    return home, near[np.arange(len(x)), home][:, None] - near <= slack * apart[home] + 1e-9
+
+
+def placed(x: np.ndarray, n: int, slack: float) -> np.ndarray:
+    """Centres for ``n`` vectors like the sample ``x``: many where they tell vectors apart, else one."""
+    c = centres(x, min(MAX_CELLS, 1 + n // 2000))
+    c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    home, visits = cells_of(x, c, slack)
+    work = visits @ (np.bincount(home, minlength=len(c)) / len(x))
+    return c if work.mean() < 0.5 else c[:1]
+
+
 def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", least: float = 0.95) -> DataFrame:
     """(id, n_links, component, kept) for each row: links of cosine ``least`` or more.
 
     Equal vectors form one class first. A class's home is the cell of its nearest centre; by the
     half-space between two centres a vector within the angle can only have its home in some
-    cells, and a class visits just those, so no link is lost whatever the centres are. In a cell
-    blocks of about ``BLOCK`` homes meet blocks of visitors: codes and bounds leave pairs that are
-    computed exactly. A block returns counts and a spanning forest of its links, never the pairs.
+    cells, and a class visits just those, so no link is lost whatever the centres are. Vectors
+    without any clusters leave one cell, and then the work is quadratic. In a cell blocks of about
+    ``BLOCK`` homes meet blocks of visitors: codes and bounds leave pairs that are computed
+    exactly. A block returns counts and a spanning forest of its links, never the pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with nothing, as do
     rows with a null id; vectors of different lengths never link. Rows that repeat count each;
@@ -103,26 +127,22 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     classes = materialise(classes.withColumn("dim", F.size("v")), "vectors")
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v", "dim").toPandas()
-    by_dim = {int(d): centres(unit(matrix(g["v"])), min(MAX_CELLS, 1 + n // 2000)) for d, g in sample.groupby("dim")}
-    given = spark.sparkContext.broadcast(by_dim)
     slack = math.sqrt(2 - 2 * least) + 1e-6
+    given = spark.sparkContext.broadcast({int(d): placed(unit(matrix(g["v"])), n, slack) for d, g in sample.groupby("dim")})
 
     def place(batches):
         for pdf in batches:
             for d, g in pdf.groupby("dim"):
                 x = unit(matrix(g["v"]))
                 c = given.value.get(int(d), np.eye(1, int(d)))
-                near = x @ c.T
-                home = near.argmax(axis=1)
-                apart = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) * len(x) < 1 << 22 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                visits = near[np.arange(len(x)), home][:, None] - near <= slack * apart + 1e-9
+                home, visits = cells_of(x, c, slack)
                 codes, factor = encode(x, rotation(int(d)))
                 yield pd.DataFrame({
-                    "rep": g["rep"], "copies": g["copies"], "dim": g["dim"], "v": g["v"], "home": home.astype(np.int32),
+                    "rep": g["rep"], "copies": g["copies"], "dim": g["dim"], "v": [np.asarray(v, np.float64).tobytes() for v in g["v"]], "home": home.astype(np.int32),
                     "visits": [np.flatnonzero(r).astype(np.int32) for r in visits], "code": [r.tobytes() for r in codes], "factor": factor.astype(np.float64),
                 })
 
-    ddl = f"rep long, copies long, dim int, v {dict(classes.dtypes)['v']}, home int, visits array<int>, code binary, factor double"
+    ddl = "rep long, copies long, dim int, v binary, home int, visits array<int>, code binary, factor double"
     index = materialise(classes.mapInPandas(place, ddl), "codes")
     homes = index.groupBy("dim", "home").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each cell: bounded by MAX_CELLS and dims
     guests = index.select("dim", F.explode("visits").alias("cell")).groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -141,14 +161,14 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
         none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         if h.empty or g.empty:
             return none
-        hx, gx = matrix(h["v"]), matrix(g["v"])
+        hx, gx = (np.frombuffer(b"".join(s["v"]), np.float64).reshape(len(s), -1) for s in (h, g))
         turn = rotation(hx.shape[1])
         codes = np.stack([np.frombuffer(c, np.uint8) for c in h["code"]])
         factor, unit_g = h["factor"].to_numpy(), unit(gx)
         hid, gid, copies = h["rep"].to_numpy(), g["rep"].to_numpy(), g["copies"].to_numpy()
         found_p, found_q = [], []
-        for s in range(0, len(g), 1024):
-            p, q = may_link(codes, factor, unit_g[s : s + 1024], turn, least, DEVIATIONS)
+        for s in range(0, len(g), 512):
+            p, q = may_link(codes, factor, unit_g[s : s + 512], turn, least, DEVIATIONS)
             q = q + s
             for t in range(0, len(p), 1 << 18):
                 pp, qq = p[t : t + (1 << 18)], q[t : t + (1 << 18)]
