@@ -218,6 +218,43 @@ def test_near_duplicate_edges(spark):
     assert sorted(x.doc_id or -1 for x in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 20]
 
 
+def edited(r, words, places):
+    """The words with others at the given places."""
+    out = list(words)
+    for p in places:
+        out[p] = r.choice([w for w in WORDS if w != out[p]])
+    return out
+
+
+def test_majority_boilerplate_links(spark):
+    r = random.Random(31)
+    passage = prose(r, 350).split()
+    own = [prose(r, 150).split() for _ in range(120)]
+    texts = [passage + w for w in own]
+    # ids in the middle, so that a bucket's ends are unrelated texts; 75 of 500 words differ
+    texts[60:60] = [passage + edited(r, own[k], r.sample(range(150), 75)) for k in (50, 51, 52)]
+    got = near_classes(spark, texts)
+    assert [got[60 + k] for k in range(3)] == [50, 51, 52]
+    assert len(set(got.values())) == 120
+
+
+def near_classes(spark, texts):
+    rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate(texts)]
+    return {x.doc_id: x.class_id for x in minhash.near_duplicates(make(spark, rows)).collect()}
+
+
+def test_equal_filters_lose_no_pair():
+    r = random.Random(33)
+    for _ in range(300):
+        a = [r.randrange(6) for _ in range(r.randrange(1, 40))]
+        b = list(a)
+        for _ in range(r.randrange(9)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = [r.randrange(6)] * r.randrange(2)
+        most = r.randrange(9)
+        assert minhash.within(np.array(a, np.uint32), np.array(b, np.uint32), most) == (edits(a, b) <= most)
+
+
 # ---------------------------------------------------------------- repeats
 
 
