@@ -238,6 +238,22 @@ def test_majority_boilerplate_links(spark):
     assert len(set(got.values())) == 120
 
 
+def test_candidates_at_the_threshold(spark):
+    r = random.Random(32)
+    texts = []
+    for n in (5, 9, 10, 14, 19, 24):
+        for _ in range(6):
+            base = prose(r, n).split()
+            texts += [base, edited(r, base, [n // 2] if n < 10 else r.sample(range(n), n // 5))]
+    for _ in range(40):  # scattered words, and every fifth word: no five-word shingle is left
+        base = prose(r, 200).split()
+        texts += [base, edited(r, base, r.sample(range(200), 40))]
+        base = prose(r, 200).split()
+        texts += [base, edited(r, base, range(2, 200, 5))]
+    got = near_classes(spark, texts)
+    assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
 def near_classes(spark, texts):
     rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate(texts)]
     return {x.doc_id: x.class_id for x in minhash.near_duplicates(make(spark, rows)).collect()}
