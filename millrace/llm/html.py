@@ -149,7 +149,7 @@ def _features(blocks: list[tuple[tuple, str, float]]) -> list[tuple[np.ndarray,
             block = [name for name, _ in path if name not in INLINE]
             names.add(f"leaf {block[-1] if block else ''}")
             ids = _path_ids[path] = np.array([_slot(x, PATHS) for x in sorted(names)], np.int64)
-        words = {_slot(w, WORDS) for w in WORD.findall(text[:200].lower())[:24]}
+        words = {_slot(w, WORDS) for w in WORD.findall(text.lower())}
         size = min(12, int(math.log2(len(text))))
         stops = sum(text.count(c) for c in ".!?,;") / len(text)
         shape = (size, 16 + min(7, int(linked * 7.99)), 24 + min(7, int(stops * 100)), 32 + min(7, 8 * i // len(blocks)), 40 + (text[-1] in ".!?\"'"))

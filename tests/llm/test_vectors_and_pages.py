@@ -187,6 +187,12 @@ def test_leaf_blocks():
     assert [t for _, t, _ in html.leaf_blocks("a < b <unfinished")] == ["a < b <unfinished"]
 
 
+def test_features_read_the_whole_block():
+    start = "the same opening words of it " * 10
+    one, two = (html._features([((("p", ""),), start + end, 0.0)])[0] for end in ("about rivers and hills", "about cookies by emails"))
+    assert set(one[0]) != set(two[0]) and len(set(one[0]) & set(two[0])) > 5
+
+
 def test_gradients_of_the_network():
     r = random.Random(1)
     pages = [html._made_page(r)[0] for _ in range(3)]
