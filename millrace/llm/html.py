@@ -17,7 +17,7 @@ from .common import bounded_batches, chunks, ship
 
 #: Fixed values of HTML: elements without content, with raw content, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
+RAW = frozenset("script style noscript template svg iframe canvas audio video head title textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: An open element that the start of one of these ends.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -47,19 +47,35 @@ class Block:
         self.path, self.pieces, self.linked = path, [], 0
 
 
+def _raw_end(page: str, name: str, at: int) -> int | None:
+    """Where the element that opened before ``at`` is closed; None if it never is."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif name not in ("script", "style") and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
     """The leaf blocks of a page in order: (path, text, share of characters in links).
 
     A block is the text between two block-level tags. The path holds the open elements, each as its
-    name with the words of class, id and role. Comments, scripts, styles and the head are no text.
+    name with the words of class, id and role. Comments, scripts, styles and the head are no text,
+    nor is what a page does not show as text (the other elements of ``RAW``, where they are closed).
     Character references are decoded, white space becomes single spaces; blank blocks are left out.
-    A page cut anywhere and tags that are not closed are taken as far as they go.
+    A page cut anywhere and tags that are not closed are taken as far as they go; only a script or
+    style that is not closed hides the rest of the page.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     path: tuple = ()
     block: Block | None = None
     links, at, n = 0, 0, len(page)
+    unclosed: set[str] = set()
 
     def text(piece: str) -> None:
         nonlocal block
@@ -98,10 +114,11 @@ def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
             continue
         if name in RAW:
             if not m[3].endswith("/"):
-                end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                if end is None and name in ("head", "title", "textarea", "select"):
+                end = _raw_end(page, name, at) if name not in unclosed else None
+                if end is None and name not in ("script", "style"):
+                    unclosed |= {name} if f"</{name}" not in page[at:].lower() else set()
                     continue
-                at = end.end() if end else n
+                at = n if end is None else end
             block = None
             continue
         if name not in INLINE:

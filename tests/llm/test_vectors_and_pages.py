@@ -187,6 +187,16 @@ def test_leaf_blocks():
     assert [t for _, t, _ in html.leaf_blocks("a < b <unfinished")] == ["a < b <unfinished"]
 
 
+def test_unclosed_elements_hide_nothing():
+    texts = lambda page: [t for _, t, _ in html.leaf_blocks(page)]
+    for name in "video object svg iframe canvas audio noscript template math select textarea".split():
+        assert texts(f"<p>one</p><{name} x=y><article><p>two</p></article>") == ["one", "two"]
+    assert texts("<video src=x><p>two</p><video src=y>no</video><p>three</p>") == ["two", "three"]
+    assert texts("<html><head><title>no</title><body><header><h1>one</h1></header><p>two") == ["one", "two"]
+    assert texts("<p>so <math><mi>x</mi></math> is <object>shown</object> here</p><svg><svg>no</svg>no</svg>") == ["so", "x", "is", "shown", "here"]
+    assert texts("<p>one</p><script>no<p>no") == ["one"]
+
+
 def test_features_read_the_whole_block():
     start = "the same opening words of it " * 10
     one, two = (html._features([((("p", ""),), start + end, 0.0)])[0] for end in ("about rivers and hills", "about cookies by emails"))
