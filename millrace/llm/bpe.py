@@ -22,6 +22,8 @@ MAX_STATES = 200_000
 MAX_WORDS = 400_000
 #: Characters of text handled at once in a worker.
 CHUNK_CHARS = 1_000_000
+#: Ids that the streaming decoder gets at a time.
+STREAM_IDS = 256
 
 
 #: Letters and numbers that Unicode gained after version 16, as ranges of code points.
@@ -209,6 +211,10 @@ class Transducer:
         return self.index[key]
 
 
+def in_blocks(ids: np.ndarray, block: int = STREAM_IDS) -> Iterator[np.ndarray]:
+    return (ids[k : k + block] for k in range(0, len(ids), block))
+
+
 class Utf8Stream:
     """Incremental UTF-8: feed bytes in any cuts, get the text that is complete.
 
@@ -324,6 +330,13 @@ class Codec:
             yield s.feed(self.decode_bytes(np.asarray(block)))
         yield s.close()
 
+    def stream_digest(self, ids: np.ndarray, block: int = STREAM_IDS) -> str:
+        """SHA-256 of the text that the ids give when they arrive ``block`` at a time."""
+        h = hashlib.sha256()
+        for text in self.decode_stream(in_blocks(ids, block)):
+            h.update(text.encode())
+        return h.hexdigest()
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -372,10 +385,10 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, id_col="d
                         docs_ids,
                         [len(x) for x in ids],
                         [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
-                        [hashlib.sha256(codec.decode_bytes(x)).hexdigest() for x in ids],
+                        [codec.stream_digest(x) for x in ids],
                     ]
                 else:
-                    cols = [docs_ids, [x.astype(np.int32) for x in ids], ["".join(codec.decode_stream([x])) for x in ids]]
+                    cols = [docs_ids, [x.astype(np.int32) for x in ids], ["".join(codec.decode_stream(in_blocks(x))) for x in ids]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

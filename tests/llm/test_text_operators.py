@@ -78,6 +78,19 @@ def test_utf8_stream_replaces_what_is_malformed():
         assert out + s.close() == data.decode("utf-8", "replace")
 
 
+def test_bpe_digest_is_of_the_stream(encoding, monkeypatch):
+    codec = bpe.Codec(encoding[0], split_pattern())
+    text = "中文字 😀 été \U0001fa77 ꙮ" * 60
+    ids = codec.encode_many([text])[0]
+    fed = []
+    feed = bpe.Utf8Stream.feed
+    monkeypatch.setattr(bpe.Utf8Stream, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    for block in (1, 7, bpe.STREAM_IDS):
+        fed.clear()
+        assert codec.stream_digest(ids, block) == hashlib.sha256(text.encode()).hexdigest()
+        assert len(fed) == -(-len(ids) // block)
+
+
 def test_bpe_query_rows(spark, encoding):
     _, enc = encoding
     rows = edge_rows()
