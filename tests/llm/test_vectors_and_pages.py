@@ -8,6 +8,8 @@ import zipfile
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import components, html, neighbours, vectors, warc
@@ -114,6 +116,22 @@ def test_components(spark):
     assert all(k in got for k, v in root.items() if v != k)
 
 
+def test_nearest_recall_on_a_full_shard(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(neighbours.SHARD, 64)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "even.parquet", row_group_size=2048)
+    found = {}
+    for r in neighbours.nearest(spark.read.parquet(str(tmp_path / "even.parquet"))).collect():
+        found.setdefault(r.query, set()).add(r.id)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = 0
+    for i in found:
+        s = u @ u[i]
+        s[i] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & found[i])
+    assert len(found) == 328 and hit >= 0.9 * 5 * len(found)
+
+
 # ---------------------------------------------------------------- WARC in ZIP
 
 PAGES = "page_id long, url string, html string"
