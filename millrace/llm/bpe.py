@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from array import array
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, ship
+from .common import bounded_batches, chunks, paused_collector, ship
 
 #: States that the transducer keeps, and words whose ids a worker remembers; both start anew when full.
 MAX_STATES = 200_000
@@ -23,7 +22,7 @@ MAX_WORDS = 400_000
 #: Characters of text handled at once in a worker.
 CHUNK_CHARS = 1_000_000
 #: Ids that the streaming decoder gets at a time.
-STREAM_IDS = 256
+STREAM_IDS = 1024
 
 
 #: Letters and numbers that Unicode gained after version 16, as ranges of code points.
@@ -35,6 +34,8 @@ ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11dd
 191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
+#: Nothing below the first of them needs the longer search.
+_HIGH = re.compile("[\u0558-\U0010ffff]")
 _NEWER = re.compile("[" + "".join(f"\\U{int(a, 16):08x}-\\U{int(b, 16):08x}" for a, b in (x.split("-") for x in NEWER.split())) + "]")
 
 
@@ -79,7 +80,8 @@ class Transducer:
         start = ((-1, 0, ()),)
         self.states: list[tuple] = [start]
         self.index = {start: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: (state << 8 | byte) -> next state and the tokens that are emitted.
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.final: list[tuple[int, ...] | None] = [()]
         if len(self._pairs) > 10 * self.max_states:
             self._pairs.clear()
@@ -142,14 +144,14 @@ class Transducer:
                 j += 1
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, done, pairs = [], None, self._pairs
+        live, done, pairs, children, token = [], None, self._pairs, self.children, self.token
         for last, node, pending in self.states[state]:
-            nxt = self.children[node].get(byte)
+            nxt = children[node].get(byte)
             if nxt is None:
                 continue
-            if self.children[nxt]:
+            if children[nxt]:
                 live.append((last, nxt, pending))
-            t = self.token[nxt]
+            t = token[nxt]
             if t >= 0:
                 ok = pairs.get((last, t))
                 if ok is None:
@@ -160,20 +162,25 @@ class Transducer:
             live.append(done)
         if not live:
             raise LookupError
-        shortest = min([c[2] for c in live], key=len)
-        n = 0
-        while n < len(shortest) and all([c[2][n] == shortest[n] for c in live]):
-            n += 1
-        emitted = live[0][2][:n]
+        # what all live configurations have completed is emitted
+        emitted = live[0][2]
+        for _, _, pending in live:
+            if emitted != pending[: len(emitted)]:
+                n = 0
+                while n < len(emitted) and n < len(pending) and emitted[n] == pending[n]:
+                    n += 1
+                emitted = emitted[:n]
+            if not emitted:
+                break
+        n = len(emitted)
         key = tuple([(last, node, pending[n:]) for last, node, pending in live]) if n else tuple(live)
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
             done = [pending for _, node, pending in key if node == 0]
             self.final.append(done[0] if len(done) == 1 else None)
-        out = self.steps[state][byte] = (to, emitted)
+        out = self.steps[state << 8 | byte] = (to, emitted)
         return out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -185,14 +192,16 @@ class Transducer:
         steps, state, out = self.steps, 0, []
         try:
             for b in piece:
-                nxt = steps[state].get(b)
-                state, emitted = nxt if nxt is not None else self._step(state, b)
+                nxt = steps.get(state << 8 | b)
+                if nxt is None:
+                    nxt = self._step(state, b)
+                    if len(self.states) > 2 * self.max_states:  # within one very long piece
+                        key = self.states[nxt[0]]
+                        self._reset()
+                        steps, nxt = self.steps, (self._place(key), nxt[1])
+                state, emitted = nxt
                 if emitted:
                     out.extend(emitted)
-                if len(self.states) > 2 * self.max_states:  # within one very long piece
-                    key = self.states[state]
-                    self._reset()
-                    steps, state = self.steps, self._place(key)
             rest = self.final[state]
         except LookupError:
             rest = None
@@ -205,16 +214,11 @@ class Transducer:
         if key not in self.index:
             self.index[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
             done = [pending for _, node, pending in key if node == 0]
             self.final.append(done[0] if len(done) == 1 else None)
         return self.index[key]
 
 
-def in_blocks(ids: np.ndarray, block: int = STREAM_IDS) -> Iterator[np.ndarray]:
-    return (ids[k : k + block] for k in range(0, len(ids), block))
-
-
 class Utf8Stream:
     """Incremental UTF-8: feed bytes in any cuts, get the text that is complete.
 
@@ -284,35 +288,32 @@ class Codec:
         pieces: list[str] = []
         ends = []
         for t in texts:
-            if not t.isascii() and _NEWER.search(t):  # stand-ins of no class, one for one
+            high = None if t.isascii() else _HIGH.search(t)
+            if high and _NEWER.search(t, high.start()):  # stand-ins of no class, one for one
                 pieces.extend(t[m.start() : m.end()] for m in self.split.finditer(_NEWER.sub("\ue000", t)))
             else:
                 pieces.extend(self.split.findall(t))
             ends.append(len(pieces))
         if not pieces:
             return [np.empty(0, np.uint32) for _ in texts]
-        place = dict.fromkeys(pieces)
-        uniques = list(place)
-        place = dict(zip(uniques, range(len(uniques)), strict=True))
-        codes = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        words, encode, ids = self.words, self.fst.encode, []
-        for u in uniques:
-            got = words.get(u)
-            if got is None:
-                got = array("I", encode(u.encode("utf-8"))).tobytes()
-                if len(u) <= 64:
-                    words[u] = got
-            ids.append(got)
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.concatenate([[0], np.cumsum(n)[:-1]])
-        flat, lens = np.frombuffer(b"".join(ids), np.uint32), n[codes]
-        at = np.concatenate([[0], np.cumsum(lens)])
-        where = np.repeat(first[codes] - at[:-1], lens)
-        where += np.arange(at[-1])
-        out = flat[where]
-        bounds = at[np.array(ends)]
+        words, encode = self.words, self.fst.encode
+        ids = list(map(words.get, pieces))
+        if None in ids:
+            long: dict[str, bytes] = {}  # too long to keep beyond this call
+            for i, got in enumerate(ids):
+                if got is None:
+                    u = pieces[i]
+                    kept = words if len(u) <= 64 else long
+                    got = kept.get(u)
+                    if got is None:
+                        got = kept[u] = array("I", encode(u.encode("utf-8"))).tobytes()
+                    ids[i] = got
+        at = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        out = np.frombuffer(b"".join(ids), np.uint32)
+        ends = np.array(ends)
+        bounds = np.where(ends > 0, at[ends - 1], 0)
         return np.split(out, bounds[:-1])
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -330,12 +331,34 @@ class Codec:
             yield s.feed(self.decode_bytes(np.asarray(block)))
         yield s.close()
 
-    def stream_digest(self, ids: np.ndarray, block: int = STREAM_IDS) -> str:
-        """SHA-256 of the text that the ids give when they arrive ``block`` at a time."""
-        h = hashlib.sha256()
-        for text in self.decode_stream(in_blocks(ids, block)):
-            h.update(text.encode())
-        return h.hexdigest()
+    def decode_many(self, ids: list[np.ndarray], block: int = STREAM_IDS) -> Iterator[Iterator[str]]:
+        """For each text the pieces that the UTF-8 machine gives when its ids arrive ``block`` at a time.
+
+        The bytes of all tokens are looked up at once; where they are cut is where blocks of ids end.
+        """
+        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
+        data = self.decode_bytes(flat)
+        at = np.concatenate([[0], np.cumsum(self.token_len[flat.astype(np.int64)])])
+        first = 0
+        for x in ids:
+            cuts = at[np.append(np.arange(first, first + len(x), block), first + len(x))].tolist()
+            first += len(x)
+            yield self._pieces(data, cuts)
+
+    @staticmethod
+    def _pieces(data: bytes, cuts: list[int]) -> Iterator[str]:
+        s = Utf8Stream()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield s.feed(data[a:b])
+        yield s.close()
+
+
+def text_digest(pieces: Iterable[str]) -> str:
+    """SHA-256 of a text that comes in pieces."""
+    h = hashlib.sha256()
+    for p in pieces:
+        h.update(p.encode())
+    return h.hexdigest()
 
 
 _codecs: dict[str, Codec] = {}
@@ -374,22 +397,20 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, *, id_col="d
 
     def run(batches):
         codec = _codec(data.value, pattern)
-        gc.disable()  # the tables hold no cycles, and scanning them costs more than encoding
-        for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for part in chunks(rows, lambda r: len(r[1] or ""), CHUNK_CHARS):
-                ids = codec.encode_many([t or "" for _, t in part])
-                docs_ids = [i for i, _ in part]
-                if digests:
-                    cols = [
-                        docs_ids,
-                        [len(x) for x in ids],
-                        [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids],
-                        [codec.stream_digest(x) for x in ids],
-                    ]
-                else:
-                    cols = [docs_ids, [x.astype(np.int32) for x in ids], ["".join(codec.decode_stream(in_blocks(x))) for x in ids]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        with paused_collector():  # the tables hold no cycles, and scanning them costs more than encoding
+            for batch in batches:
+                rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                for part in chunks(rows, lambda r: len(r[1] or ""), CHUNK_CHARS):
+                    ids = codec.encode_many([t or "" for _, t in part])
+                    cols = [[i for i, _ in part]]
+                    if digests:
+                        cols.append([len(x) for x in ids])
+                        cols.append([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids])
+                        cols.append([text_digest(pieces) for pieces in codec.decode_many(ids)])
+                    else:
+                        cols.append([x.astype(np.int32) for x in ids])
+                        cols.append(["".join(pieces) for pieces in codec.decode_many(ids)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, ddl)

@@ -87,8 +87,11 @@ def test_bpe_digest_is_of_the_stream(encoding, monkeypatch):
     monkeypatch.setattr(bpe.Utf8Stream, "feed", lambda self, data: fed.append(data) or feed(self, data))
     for block in (1, 7, bpe.STREAM_IDS):
         fed.clear()
-        assert codec.stream_digest(ids, block) == hashlib.sha256(text.encode()).hexdigest()
+        assert bpe.text_digest(codec.decode_stream(ids[k : k + block] for k in range(0, len(ids), block))) == hashlib.sha256(text.encode()).hexdigest()
         assert len(fed) == -(-len(ids) // block)
+        fed.clear()
+        assert ["".join(x) for x in codec.decode_many([ids, ids[:0], ids], block)] == [text, "", text]
+        assert len(fed) == 2 * -(-len(ids) // block)
 
 
 def test_bpe_query_rows(spark, encoding):
