@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 import zipfile
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,8 @@ def settle(spark: SparkSession) -> None:
 
 @contextmanager
 def paused_collector():
-    """No garbage collection inside; a worker that another stage uses again gets its collector back."""
+    """No garbage collection inside. Python workers serve later stages too: at the end the collector is
+    on again and free memory goes back to the system."""
     was = gc.isenabled()
     gc.disable()
     try:
@@ -82,6 +85,10 @@ def paused_collector():
     finally:
         if was:
             gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def ship(spark: SparkSession) -> None:

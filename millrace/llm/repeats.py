@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, prefix
-from .common import bounded_batches, chunks, materialise, release, settle, ship
+from .common import bounded_batches, chunks, materialise, paused_collector, release, settle, ship
 
 #: Bytes that make a repeat.
 LENGTH = 200
@@ -23,7 +22,7 @@ _PLACE = np.uint64((1 << 22) - 1)
 #: Distinct slices of an anchor above which every window becomes a key of its own.
 HOT = 4096
 #: Bytes of slices that one suffix array holds, about.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- anchors
@@ -74,8 +73,11 @@ def _pieces(texts: list[bytes], length: int) -> tuple[list[bytes], list[tuple[in
 # ---------------------------------------------------------------- suffix arrays
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` bytes (equal ones share a rank), by doubling."""
+def rank_levels(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(bytes, ranks of all suffixes by so many first bytes) for growing numbers of bytes up to ``depth``.
+
+    Equal ones share a rank; each level doubles the one before.
+    """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -84,23 +86,42 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[j : j + n]
     # the end of the data sorts below every byte
     key = (key << np.uint64(8)) | np.minimum(np.arange(n, 0, -1), step).astype(np.uint64)
-    rank = _dense(key)
+    levels = [(step, _dense(key))]
     while step < depth:
-        add = min(step, depth - step)
+        rank, add = levels[-1][1], min(step, depth - step)
         after = np.full(n, 0, np.uint64)
-        after[: max(0, n - add)] = rank[add:].astype(np.uint64) + 1
-        rank = _dense((rank.astype(np.uint64) << np.uint64(32)) | after)
+        after[: max(0, n - add)] = rank[add:].astype(np.uint64) + np.uint64(1)
         step += add
-    return rank
+        levels.append((step, _dense((rank.astype(np.uint64) << np.uint64(32)) | after)))
+    return levels
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes by their first ``depth`` bytes."""
+    return rank_levels(data, depth)[-1][1]
+
+
+def common_bytes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at ``i`` and ``j`` (different places) share, up to the depth of the levels.
+
+    Equal ranks at a level mean so many equal bytes; the largest level that agrees is taken, then the rest.
+    """
+    n, depth = len(data), levels[-1][0]
+    out = np.zeros(len(i), np.int64)
+    for step, rank in [*levels[::-1], *[(1, data)] * (min(7, depth) - 1)]:
+        a, b = i + out, j + out
+        inside = (np.maximum(a, b) < n) & (out + step <= depth)
+        out += step * (inside & (rank[np.where(inside, a, 0)] == rank[np.where(inside, b, 0)]))
+    return out
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     s = key[order]
-    new = np.zeros(len(s), np.int64)
+    new = np.zeros(len(s), np.int32)
     new[1:] = s[1:] != s[:-1]
-    out = np.empty(len(s), np.int64)
-    out[order] = np.cumsum(new)
+    out = np.empty(len(s), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
@@ -118,21 +139,39 @@ def previous_smaller(a: np.ndarray) -> np.ndarray:
     return p
 
 
-def longest_factors(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which suffixes match an earlier, and which a later one, in ``depth`` bytes.
+def _nearest(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order, and in it the previous and the next smaller place of each (-1 and n if none)."""
+    order = np.lexsort((place, rank))
+    a = place[order]
+    return order, previous_smaller(a), len(a) - 1 - previous_smaller(a[::-1])[::-1]
+
+
+def factor_lengths(data: np.ndarray, levels: list[tuple[int, np.ndarray]], starts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in ``starts``, up to the depth of the levels.
 
     The suffixes stand in suffix order; previous and next smaller places in that order are the
-    earlier suffixes with which each shares most, so a longest previous factor of ``depth`` or more
-    means that one of the two has the same rank (the ranks stop at ``depth``). Larger places give
-    the later matches in the same way.
+    earlier suffixes with which each shares most, and the longer of the two common beginnings is
+    the factor. ``place`` orders the suffixes; with -place it is the longest later factor.
+    """
+    order, prev, nxt = _nearest(levels[-1][1][starts], place)
+    at, out = starts[order], np.zeros(len(order), np.int64)
+    for other, ok in ((prev, prev >= 0), (nxt, nxt < len(order))):
+        some = np.flatnonzero(ok)
+        out[some] = np.maximum(out[some], common_bytes(data, levels, at[some], at[other[some]]))
+    back = np.empty(len(order), np.int64)
+    back[order] = out
+    return back
+
+
+def longest_factors(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes match an earlier, and which a later one, in ``depth`` bytes, from their ranks alone.
+
+    A longest factor of ``depth`` means that a nearest smaller place has the same rank.
     """
-    order = np.lexsort((place, rank))
-    r, a = rank[order], place[order]
-    n = len(r)
     found = []
-    for values in (a, -a):
-        prev = previous_smaller(values)
-        nxt = n - 1 - previous_smaller(values[::-1])[::-1]
+    for values in (place, -place):
+        order, prev, nxt = _nearest(rank, values)
+        r, n = rank[order], len(rank)
         hit = (prev >= 0) & (r[prev] == r)
         inside = nxt < n
         hit |= inside & (r[np.where(inside, nxt, 0)] == r)
@@ -145,137 +184,220 @@ def longest_factors(rank: np.ndarray, place: np.ndarray, depth: int) -> tuple[np
 # ---------------------------------------------------------------- the operator
 
 
-def _candidates(docs: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, h, lo, n): anchors whose hash stands at two different places of the corpus."""
-    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
+def _candidates(texts: DataFrame, length: int) -> DataFrame:
+    """(o, c1, h, lo, n): the anchors of every content."""
+    schema = pa.schema([("o", pa.int64()), ("c1", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
-        gc.disable()
-        for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            for group in chunks(rows, lambda r: len(r[2]), CHUNK_BYTES):
-                pieces, where = _pieces([r[2].encode("utf-8") for r in group], length)
-                for part in chunks(list(zip(pieces, where, strict=True)), lambda p: len(p[0]), PIECE):
-                    p, h, lo, n = anchors([x for x, _ in part], length)
-                    doc = np.array([i for _, (i, _) in part], np.int64)[p]
-                    lo = lo + np.array([o for _, (_, o) in part], np.int64)[p]
-                    c = np.array([(r[0], r[1]) for r in group], np.int64).reshape(-1, 2)[doc]
-                    for s in range(0, len(h), 1 << 16):
-                        e = s + (1 << 16)
-                        cols = [c[s:e, 0], c[s:e, 1], h[s:e], lo[s:e], n[s:e].astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], schema=schema)
-
-    made = docs.select("c1", "c2", "text").mapInArrow(run, "c1 long, c2 long, h long, lo long, n int")
-    return made
-
-
-def _windows_of(slices: DataFrame, length: int) -> DataFrame:
-    """Slices of hot anchors, one row for each window, each with a key of its own."""
-    one = slices.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    one = one.withColumn("slice", F.substring("slice", F.col("k") + 1, F.lit(length)))
-    return one.select("c1", "c2", "o", (F.col("lo") + F.col("k")).alias("lo"), F.lit(1).alias("n"), F.xxhash64("slice").alias("h"), "slice")
-
-
-def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, marks): for every content the windows that also start elsewhere.
-
-    ``docs`` has (c1, c2, o, text): content hashes and the id that orders it; rows with equal contents
-    are one. marks: array of (lo, earlier, later), bit strings of the windows from ``lo`` on.
-    """
-    made = materialise(_candidates(docs, length), "anchors")
-    places = F.xxhash64("c1", "c2", "lo")
-    again = made.groupBy("h").agg(F.min(places).alias("p"), F.max(places).alias("q")).where("p <> q").select("h")
-    settle(docs.sparkSession)
-    # a hot hash splits this join: what follows is dealt out by content
-    flagged = made.join(again, "h", "left_semi")
-    lists = flagged.groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "lo", "n")).alias("spots"))
-    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("o", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("slice", pa.binary())])
+        with paused_collector():
+            for batch in batches:
+                rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+                for group in chunks(rows, lambda r: len(r[2]), CHUNK_BYTES):
+                    pieces, where = _pieces([r[2].encode("utf-8") for r in group], length)
+                    for part in chunks(list(zip(pieces, where, strict=True)), lambda p: len(p[0]), PIECE):
+                        p, h, lo, n = anchors([x for x, _ in part], length)
+                        doc = np.array([i for _, (i, _) in part], np.int64)[p]
+                        lo = lo + np.array([o for _, (_, o) in part], np.int64)[p]
+                        c = np.array([(r[0], r[1]) for r in group], np.int64).reshape(-1, 2)[doc]
+                        for s in range(0, len(h), 1 << 16):
+                            e = s + (1 << 16)
+                            cols = [c[s:e, 0], c[s:e, 1], h[s:e], lo[s:e], n[s:e].astype(np.int32)]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], schema=schema)
 
-    def cut(batches):
-        for batch in batches:
-            out, size = [], 0
-            for c1, c2, o, text, spots in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                raw = text.encode("utf-8")
-                for s in spots:
-                    piece = raw[s["lo"] : s["lo"] + s["n"] + length - 1]
-                    out.append((c1, c2, o, s["lo"], s["n"], s["h"], piece))
-                    size += len(piece)
+    return texts.select("o", "c1", "text").mapInArrow(run, "o long, c1 long, h long, lo long, n int")
+
+
+_SLICE = pa.struct([("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+_PART = pa.struct([("start", pa.int64()), ("bytes", pa.binary())])
+
+
+def _lists(flat: list[tuple], sizes: list[int], kind: pa.DataType) -> pa.ListArray:
+    cols = list(zip(*flat, strict=True)) if flat else [[] for _ in kind]
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows)
+
+
+def digest_words(data: bytes) -> tuple[int, int]:
+    """A 128-bit digest as two numbers: slices with equal digests are taken as equal (n slices differ
+    unseen with a probability below n**2 / 2**129)."""
+    d = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _slices(texts: DataFrame, length: int) -> DataFrame:
+    """(o, c1, slices, parts): the slices round the spots of each content with their digests, and the
+    bytes that the slices cover, joined where they overlap."""
+    schema = pa.schema([("o", pa.int64()), ("c1", pa.int64()), ("slices", pa.list_(_SLICE)), ("parts", pa.list_(_PART))])
+
+    def out(rows: list) -> pa.RecordBatch:
+        o, c1, slices, parts = zip(*rows, strict=True)
+        cols = [_lists([x for y in c for x in y], [len(y) for y in c], kind) for c, kind in ((slices, _SLICE), (parts, _PART))]
+        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(c1, pa.int64()), *cols], schema=schema)
+
+    def run(batches):
+        with paused_collector():
+            rows, size = [], 0
+            for batch in batches:
+                spots = batch.column(3)
+                bound, flat = spots.offsets.to_numpy(), spots.values
+                h, lo, n = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("h", "lo", "n"))
+                for k, (o, c1, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                    raw = text.encode("utf-8")
+                    own = np.arange(bound[k], bound[k + 1])
+                    own = own[np.argsort(lo[own], kind="stable")]
+                    first, end = lo[own], lo[own] + n[own] + length - 1
+                    spans = list(zip(h[own].tolist(), first.tolist(), n[own].tolist(), end.tolist(), strict=True))
+                    slices = [(x, a, m, *digest_words(raw[a:e])) for x, a, m, e in spans]
+                    new = np.flatnonzero(np.append(True, first[1:] > np.maximum.accumulate(end)[:-1]))
+                    stop = np.maximum.reduceat(end, new)
+                    parts = [(a, raw[a:e]) for a, e in zip(first[new].tolist(), stop.tolist(), strict=True)]
+                    rows.append((o, c1, slices, parts))
+                    size += len(raw)
                     if size > CHUNK_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    texts = docs.join(lists.withColumnRenamed("c1", "d1").withColumnRenamed("c2", "d2"), (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
-    slices = texts.select("c1", "c2", "o", "text", "spots").mapInArrow(cut, "c1 long, c2 long, o long, lo long, n int, h long, slice binary")
-    slices = slices.withColumn("s1", F.xxhash64("slice")).withColumn("s2", F.xxhash64(F.lit(1), "slice"))
-    slices = materialise(slices, "slices")
-    release(made)
-    settle(docs.sparkSession)
-
-    # equal slices of an anchor are one; where each first stands orders its windows
-    where = F.struct("o", "c1", "c2", "lo")
-    unique = slices.groupBy("h", "s1", "s2").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.first("n").alias("n"))
-    hot = unique.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT).select("h")
-    hot = materialise(hot, "hot-anchors")
-    if hot.count():  # distinct left and right contexts of one anchor are many: windows become keys
-        keyed = lambda d: d.withColumn("s1", F.xxhash64("slice")).withColumn("s2", F.xxhash64(F.lit(1), "slice"))
-        cold = slices.join(hot, "h", "left_anti")
-        warm = keyed(_windows_of(slices.join(hot, "h", "left_semi"), length))
-        slices = materialise(cold.unionByName(warm.select(*cold.columns)), "slices")
-        unique = slices.groupBy("h", "s1", "s2").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.first("n").alias("n"))
-    unique = materialise(unique, "slice-kinds")
-    several = unique.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    # one row of each kind brings its bytes: the one that stands first
-    body = slices.join(several, "h", "left_semi").groupBy("h", "s1", "s2").agg(F.min(F.struct(where, "slice")).alias("m"))
-    body = body.select("h", "s1", "s2", "m.slice", F.col("m.col1.o").alias("o"), F.col("m.col1.c1").alias("c1"), F.col("m.col1.c2").alias("c2"), F.col("m.col1.lo").alias("lo"))
-    out_schema = pa.schema([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("earlier", pa.binary()), ("later", pa.binary())])
+                        yield out(rows)
+                        rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+    return texts.select("o", "c1", "text", "spots").mapInArrow(run, "o long, c1 long, slices array<struct<h:long,lo:long,n:int,s1:long,s2:long>>, parts array<struct<start:long,bytes:binary>>")
+
+
+def _cut(wanted: DataFrame, cut: DataFrame, length: int, windows: bool) -> DataFrame:
+    """The bytes of the wanted slices (o, c1, h, s1, s2, lo, n), or all their windows with keys of their own."""
+    schema = pa.schema([("o", pa.int64()), ("c1", pa.int64()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("slice", pa.binary())])
+
+    def pieces(o, c1, spots, parts):
+        starts = np.array([p["start"] for p in parts])
+        for s in spots:
+            p = parts[int(np.searchsorted(starts, s["lo"], side="right")) - 1]
+            a = s["lo"] - p["start"]
+            if not windows:
+                yield o, c1, s["h"], s["s1"], s["s2"], s["lo"], s["n"], p["bytes"][a : a + s["n"] + length - 1]
+                continue
+            for k in range(s["n"]):
+                s1, s2 = digest_words(p["bytes"][a + k : a + k + length])
+                yield o, c1, s1, s1, s2, s["lo"] + k, 1, None
+
+    def run(batches):
+        with paused_collector():
+            rows, size = [], 0
+            for batch in batches:
+                for r in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                    for piece in pieces(*r):
+                        rows.append(piece)
+                        size += 64 + len(piece[-1] or b"")
+                        if size > CHUNK_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    lists = wanted.groupBy("o", "c1").agg(F.collect_list(F.struct("h", "s1", "s2", "lo", "n")).alias("spots"))
+    found = lists.join(cut.select("o", "c1", "parts"), ["o", "c1"]).select("o", "c1", "spots", "parts")
+    return found.mapInArrow(run, "o long, c1 long, h long, s1 long, s2 long, lo long, n int, slice binary")
+
+
+def _solved(body: DataFrame, length: int, keep: str) -> DataFrame:
+    """(h, s1, s2, earlier, later): bit strings of the windows with a match in another slice of the anchor."""
+    schema = pa.schema([("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("earlier", pa.binary()), ("later", pa.binary())])
 
     def solve(rows: list) -> pa.RecordBatch:
-        raw = [r[3] for r in rows]
+        raw = [r[6] for r in rows]
         data = np.frombuffer(b"".join(raw), np.uint8)
         size = np.array([len(x) for x in raw])
         at = np.concatenate([[0], np.cumsum(size)[:-1]])
         n = size - length + 1
         own = np.repeat(np.arange(len(rows)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rank = suffix_ranks(data, length)[at[own] + k]
         # windows in the order of the corpus: id, content, place
-        ids = np.array([(r[4], r[5], r[6]) for r in rows], np.int64)
-        order = np.lexsort((np.array([r[7] for r in rows])[own] + k, ids[own, 2], ids[own, 1], ids[own, 0]))
+        ids = np.array([r[3:6] for r in rows], np.int64)
+        order = np.lexsort((ids[own, 2] + k, ids[own, 1], ids[own, 0]))
         place = np.empty(len(own), np.int64)
         place[order] = np.arange(len(own))
-        earlier, later = longest_factors(rank, place, length)
-        bound = np.cumsum(n)[:-1]
-        bits = [[np.packbits(x).tobytes() for x in np.split(f, bound)] for f in (earlier, later)]
+        levels, starts, bound = rank_levels(data, length), at[own] + k, np.cumsum(n)[:-1]
+        bits = []
+        for values in (place, -place)[: 2 if keep == "none" else 1]:
+            hit = factor_lengths(data, levels, starts, values) >= length
+            bits.append([np.packbits(x).tobytes() if x.any() else None for x in np.split(hit, bound)])
+        if keep != "none":
+            bits.append([None] * len(rows))
         cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], *bits]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def match(batches):
-        held, size = [], 0
-        for batch in batches:  # sorted by anchor: an array may end wherever the anchor changes
-            for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if size > ARRAY_BYTES and held[-1][0] != r[0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[3])
-        if held:
-            yield solve(held)
-
-    body = body.select("h", "s1", "s2", "slice", "o", "c1", "c2", "lo").repartition("h").sortWithinPartitions("h")
-    solved = body.mapInArrow(match, "h long, s1 long, s2 long, earlier binary, later binary")
-    kinds = unique.join(solved, ["h", "s1", "s2"], "left").select(F.col("h").alias("kh"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), "first", "last", "earlier", "later")
-    # the first of equal slices may match other slices; all others match the first
-    marked = slices.select("h", "s1", "s2", "c1", "c2", "o", "lo", "n").join(kinds, (F.col("h") == F.col("kh")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")))
-    here = F.struct("o", "c1", "c2", "lo")
+        with paused_collector():
+            held, size = [], 0
+            for batch in batches:  # sorted by anchor: an array may end wherever the anchor changes
+                for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                    if size > ARRAY_BYTES and held[-1][0] != r[0]:
+                        yield solve(held)
+                        held, size = [], 0
+                    held.append(r)
+                    size += len(r[6])
+            if held:
+                yield solve(held)
+
+    body = body.select("h", "s1", "s2", "o", "c1", "lo", "slice").repartition("h").sortWithinPartitions("h")
+    return body.mapInArrow(match, "h long, s1 long, s2 long, earlier binary, later binary").where("earlier is not null or later is not null")
+
+
+def repeated_starts(texts, contents: DataFrame, length: int, keep: str) -> DataFrame:
+    """(o, c1, marks): for every content the windows that also start elsewhere.
+
+    ``texts(known)`` gives (o, c1, text and the other columns of ``known``) for the contents in
+    ``known`` (x1, x2, o, ...), one row for each. A content is named by the smallest id that has it
+    and a 64-bit hash, which also orders it. marks: array of (lo, n, earlier, later), bit strings of the
+    windows from ``lo`` on; empty strings stand for all of them.
+    """
+    spark = contents.sparkSession
+    made = materialise(_candidates(texts(contents), length), "anchors")
+    settle(spark)
+    again = made.groupBy("h").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("h")
+    # a hot hash splits this join: what follows is dealt out by content
+    spots = made.join(again, "h", "left_semi").groupBy("o", "c1").agg(F.collect_list(F.struct("h", "lo", "n")).alias("spots"))
+    spots = materialise(spots, "spots")
+    release(made)
+    settle(spark)
+    known = contents.join(spots.withColumnRenamed("o", "at"), (F.col("x1") == F.col("c1")) & (F.col("o") == F.col("at"))).select("x1", "x2", "o", "spots")
+    cut = materialise(_slices(texts(known), length), "slices")
+    release(spots)
+    settle(spark)
+
+    # equal slices of an anchor are one; where the first stands orders its windows
+    slices = cut.select("o", "c1", F.inline("slices"))
+    where = F.struct("o", "c1", "lo")
+    kinds_of = lambda d: d.groupBy("h", "s1", "s2").agg(F.min(where).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    unique = materialise(kinds_of(slices), "slice-kinds")
+    settle(spark)
+    per_anchor = unique.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    hot = materialise(per_anchor.where(F.col("kinds") > HOT).select("h"), "hot-anchors")
+    if not hot.isEmpty():  # distinct left and right contexts of one anchor are many: windows become keys
+        release(unique)
+        warm = _cut(slices.join(hot, "h", "left_semi"), cut, length, windows=True).select(*slices.columns)
+        slices = materialise(slices.join(hot, "h", "left_anti").unionByName(warm), "slices")
+        unique = materialise(kinds_of(slices), "slice-kinds")
+        per_anchor = unique.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+        settle(spark)
+    # one row of each kind brings its bytes: the one that stands first
+    body = unique.join(per_anchor.where("kinds > 1").select("h"), "h", "left_semi").select("first.o", "first.c1", "h", "s1", "s2", "first.lo", "n")
+    solved = materialise(_solved(_cut(body, cut, length, windows=False), length, keep), "matches")
+    settle(spark)
+    kinds = unique.join(solved, ["h", "s1", "s2"], "left").where("copies > 1 or earlier is not null or later is not null")
+    # a kind that stands once is marked where it stands
+    alone = kinds.where("copies = 1").select("first.o", "first.c1", "first.lo", "n", "earlier", "later")
     full = F.lit(b"")  # an empty string of bits stands for all windows
-    marked = marked.select(
-        "c1", "c2", "lo", "n",
-        F.when(here > F.col("first"), full).otherwise(F.col("earlier")).alias("earlier"),
-        F.when(here < F.col("last"), full).otherwise(F.col("later")).alias("later"),
-    ).where("earlier is not null or later is not null")
-    return marked.groupBy("c1", "c2").agg(F.collect_set(F.struct("lo", "n", "earlier", "later")).alias("marks"))
+    some = kinds.where("copies > 1").select(F.col("h").alias("kh"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), "first", "earlier")
+    every = slices.join(some, (F.col("h") == F.col("kh")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")))
+    if keep == "none":  # all copies go
+        every = every.select("o", "c1", "lo", "n", full.alias("earlier"), F.lit(None).cast("binary").alias("later"))
+    else:  # the first of equal slices may match other slices; all others match the first
+        every = every.select("o", "c1", "lo", "n", F.when(where > F.col("first"), full).otherwise(F.col("earlier")).alias("earlier"), F.lit(None).cast("binary").alias("later")).where("earlier is not null")
+    marks = alone.unionByName(every).groupBy("o", "c1").agg(F.collect_set(F.struct("lo", "n", "earlier", "later")).alias("marks"))
+    marks = materialise(marks, "marks")
+    for done in (cut, slices, unique, solved, hot):
+        release(done)
+    settle(spark)
+    return marks
 
 
 def covered(sizes: np.ndarray, marks: pa.ListArray, length: int, keep: str) -> list[np.ndarray | None]:
@@ -320,10 +442,11 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     with keep="none" anywhere. Matches never cross documents; windows are judged on the input.
 
     Every window has a winnowed anchor; only anchors that stand twice are looked at again. The text
-    round them is cut into slices, equal slices count once, and slices that share an anchor but
-    differ go into suffix arrays, whose longest previous factors tell what repeats. An anchor with
-    more than ``HOT`` different slices is dealt out by whole windows instead, so no key gathers an
-    unbounded group.
+    round them is cut into slices, equal slices (by 128-bit digests) count once, and slices that
+    share an anchor but differ go into suffix arrays, whose longest previous factors tell what
+    repeats. An anchor with more than ``HOT`` different slices is dealt out by whole windows instead
+    (each a slice of its own), so no key gathers an unbounded group. Equal texts are found by two 64-bit
+    hashes; texts of one id are told apart by one of them.
 
     result="text": the columns of ``docs`` with the text cut (what is left of a character whose bytes
     went partly is dropped too). result="digest": doc_id, n_bytes, n_removed, n_spans, kept_sha256.
@@ -339,10 +462,14 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     last = (1 << 63) - 1
     contents = rows.where(F.octet_length("text") >= length).groupBy("c1", "c2").agg(F.min(F.coalesce("id", F.lit(last))).alias("o"), F.count(F.lit(1)).alias("copies"))
     contents = materialise(contents.withColumnRenamed("c1", "x1").withColumnRenamed("c2", "x2"), "contents")
-    single = rows.join(contents, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")) & (F.coalesce("id", F.lit(last)) == F.col("o")))
-    starts = materialise(repeated_starts(single.select("c1", "c2", "o", "text"), length), "marks")
-    settle(spark)
-    known = contents.join(starts, (F.col("x1") == F.col("c1")) & (F.col("x2") == F.col("c2")), "left").select("x1", "x2", "o", "copies", "marks")
+    own = rows.select("c1", "c2", F.coalesce("id", F.lit(last)).alias("own"), "text")
+
+    def texts(known: DataFrame) -> DataFrame:
+        found = own.join(known, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")) & (F.col("own") == F.col("o")))
+        return found.drop("c2", "x1", "x2", "own")
+
+    starts = repeated_starts(texts, contents, length, keep)
+    known = contents.join(starts.withColumnRenamed("o", "at"), (F.col("x1") == F.col("c1")) & (F.col("o") == F.col("at")), "left").select("x1", "x2", "o", "copies", "marks")
     if result == "text":  # the text travels once, within its row
         rows = rows.select("doc", "id", "c1", "c2")
     joined = rows.join(known, (F.col("c1") == F.col("x1")) & (F.col("c2") == F.col("x2")), "left")
