@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import fold_in_order
+
 WRAP = 1 << 31
 
 
@@ -20,21 +21,47 @@ def last_stable(marks: DataFrame, txns: DataFrame) -> DataFrame:
     return marks.join(open_, "part", "left").select("part", F.least("high_watermark", F.coalesce("f", "high_watermark")).alias("last_stable_offset"))
 
 
-def visible(batches: DataFrame, txns: DataFrame, width: int = 1000) -> DataFrame:
+def _spread(ranges: DataFrame, first: str, last: str, width: int) -> DataFrame:
+    """Ranges with a level and each bucket of that level that they touch: two at most.
+
+    A range's level is the power of two above its length (and ``width``), so buckets are never shorter
+    than the range.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col(last) - F.col(first) + 1, F.lit(width)))).cast("int")
+    r = ranges.withColumn("_level", level)
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    return r.withColumn("_bucket", F.explode(F.array_distinct(F.array(F.floor(F.col(first) / width), F.floor(F.col(last) / width)))))
+
+
+def _levels(spread: DataFrame, key: list[str]) -> DataFrame:
+    return spread.select(*key, "_level").distinct()
+
+
+def within_ranges(points: DataFrame, ranges: DataFrame, key: list[str], first: str, last: str, width: int = 1) -> DataFrame:
+    """Points (base_offset to last_offset) joined with the ranges of their key that hold them.
+
+    Interval containment as an equality join: a point looks once at each level of range lengths
+    that its key has (61 at most), in the bucket where it starts.
+    """
+    spread = _spread(ranges, first, last, width)
+    on = [*key, "_level", "_bucket"]
+    at = points.join(_levels(spread, key), key).withColumn("_bucket", F.floor(F.col("base_offset") / F.pow(F.lit(2.0), F.col("_level"))))
+    hit = at.join(spread, on).where((F.col("base_offset") >= F.col(first)) & (F.col("last_offset") <= F.col(last)))
+    return hit.drop("_level", "_bucket")
+
+
+def visible(batches: DataFrame, txns: DataFrame, width: int = 1) -> DataFrame:
     """Batches that a read of committed data sees.
 
     Plain batches are visible. A transactional one takes the newest completed transaction of its
-    producer and epoch whose range holds it, which must be committed with its offsets applied.
-    The range join gets a bucket of ``width`` offsets as a further equality, so that it stays a hash
-    or merge join; a range that spans several buckets is listed under each.
+    producer and epoch whose range holds it, which must be committed with its offsets applied. ``width`` is the least span of a bucket of offsets.
     """
-    done = txns.where(F.col("state") != "active").withColumn("b", F.explode(F.sequence(F.floor(F.col("first_offset") / width), F.floor(F.col("last_offset") / width))))
-    done = done.select("part", "producer_id", "epoch", "b", F.col("first_offset").alias("f"), F.col("last_offset").alias("l"), "seq", (F.col("state") == "committed").alias("committed"), "applied")
-    plain = batches.where(~F.col("transactional"))
-    marked = batches.where("transactional").withColumn("b", F.floor(F.col("base_offset") / width))
-    hit = marked.join(done, ["part", "producer_id", "epoch", "b"]).where((F.col("base_offset") >= F.col("f")) & (F.col("last_offset") <= F.col("l")))
-    newest = hit.groupBy("part", "base_offset").agg(F.max_by(F.col("committed") & F.col("applied"), "seq").alias("ok")).where("ok").select("part", "base_offset")
-    return plain.unionByName(batches.where("transactional").join(newest, ["part", "base_offset"], "left_semi"))
+    key = ["part", "producer_id", "epoch"]
+    done = txns.where(F.col("state") != "active").select(*key, F.col("first_offset").alias("_f"), F.col("last_offset").alias("_l"), "seq", ((F.col("state") == "committed") & F.col("applied")).alias("_ok"))
+    marked = batches.where("transactional").select(*key, "base_offset", "last_offset")
+    hit = within_ranges(marked, done, key, "_f", "_l", width)
+    newest = hit.groupBy("part", "base_offset").agg(F.max_by("_ok", "seq").alias("ok")).where("ok").select("part", "base_offset")
+    return batches.where(~F.col("transactional")).unionByName(batches.where("transactional").join(newest, ["part", "base_offset"], "left_semi"))
 
 
 def overlapping(txns: DataFrame, first: int, end: int) -> DataFrame:
@@ -47,9 +74,11 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
 
 def uncovered(batches: DataFrame, ranges: DataFrame) -> DataFrame:
     """Batches of open transactions that no recorded range covers, for rebuilding ranges from the log."""
-    r = ranges.select("part", "producer_id", F.col("first_offset").alias("f"), F.col("last_offset").alias("l"))
-    on = (batches["part"] == r["part"]) & (batches["producer_id"] == r["producer_id"]) & (batches["base_offset"] >= r["f"]) & (batches["last_offset"] <= r["l"])
-    return batches.where("transactional").join(r, on, "left_anti")
+    key = ["part", "producer_id"]
+    r = ranges.select(*key, F.col("first_offset").alias("_f"), F.col("last_offset").alias("_l"))
+    marked = batches.where("transactional")
+    covered = within_ranges(marked.select(*key, "base_offset", "last_offset"), r, key, "_f", "_l").select(*key, "base_offset").distinct()
+    return marked.join(covered, [*key, "base_offset"], "left_anti")
 
 
 def recent(batches: DataFrame, n: int = 5) -> DataFrame:
@@ -70,24 +99,31 @@ class SequenceHistory:
     def __init__(self, epoch: int = -1, kept: list | None = None, next_offset: int = 0):
         self.epoch, self.kept = epoch, kept or []
 
-    def judge(self, epoch: int, base: int, last: int, count: int, offset: int) -> tuple[int, int, str]:
+    def judge(self, epoch: int, base: int, last: int, count: int, offset: int, transactional: bool = False) -> tuple[int, int, str]:
         """(error, base offset, verdict) for a batch that would be written at ``offset``."""
-        if count <= 0 or base < 0 or last != (base + count - 1) % WRAP:
-            return 45, -1, "bad"
+        return self.judge_all(epoch, [(base, last, count, transactional)], [offset])
+
+    def judge_all(self, epoch: int, batches: list[tuple[int, int, int, bool]], offsets: list[int]) -> tuple[int, int, str]:
+        """The same for batches that come together: the epoch first, then the sequences, then duplicates.
+
+        A duplicate repeats as many kept batches in a row, in sequences, count and kind.
+        """
         if epoch < self.epoch:
             return 47, -1, "fenced"
-        if epoch > self.epoch:
-            if base != 0:
-                return 45, -1, "gap"
-            self.epoch, self.kept = epoch, []
-        for b, e, o in self.kept:
-            if (b, e) == (base, last):
-                return 0, o, "duplicate"
-        due = (self.kept[-1][1] + 1) % WRAP if self.kept else 0
-        if base != due:
+        if any(n <= 0 or b < 0 or e != (b + n - 1) % WRAP for b, e, n, _ in batches):
+            return 45, -1, "bad"
+        if any(two[0] != (one[1] + 1) % WRAP for one, two in zip(batches, batches[1:], strict=False)):
+            return 45, -1, "gap"
+        kept = self.kept if epoch == self.epoch else []
+        for i in range(len(kept) - len(batches) + 1):
+            if [tuple(k[:4]) for k in kept[i : i + len(batches)]] == batches:
+                return 0, kept[i][4], "duplicate"
+        due = (kept[-1][1] + 1) % WRAP if kept else 0
+        if batches[0][0] != due:
             return 45, -1, "gap"
-        self.kept = [*self.kept[-4:], (base, last, offset)]
-        return 0, offset, "accepted"
+        self.epoch = epoch
+        self.kept = [*kept, *[(*b, o) for b, o in zip(batches, offsets, strict=True)]][-5:]
+        return 0, offsets[0], "accepted"
 
 
 VERDICTS = "part int, producer_id long, arrival long, error_code int, verdict string, dup_of long"
@@ -96,19 +132,26 @@ VERDICTS = "part int, producer_id long, arrival long, error_code int, verdict st
 def judge_sequences(incoming: DataFrame) -> DataFrame:
     """Verdicts of batches in order of arrival; a rejected batch leaves no trace in the history.
 
-    ``incoming``: part, producer_id, epoch, arrival, base_sequence, last_sequence, record_count. One
-    group for each partition and producer. ``dup_of`` is the arrival of the batch that a duplicate
-    repeats, else -1.
+    ``incoming``: part, producer_id, epoch, arrival, base_sequence, last_sequence, record_count, and if
+    there is one transactional. One history for each partition and producer. ``dup_of`` is the
+    arrival of the batch that a duplicate repeats, else -1.
     """
+    if "transactional" not in incoming.columns:
+        incoming = incoming.withColumn("transactional", F.lit(False))
+    cols = ["part", "producer_id", "epoch", "arrival", "base_sequence", "last_sequence", "record_count", "transactional"]
+
+    def step(h, r):
+        error, at, verdict = h.judge(r.epoch, r.base_sequence, r.last_sequence, r.record_count, r.arrival, r.transactional)
+        return r.part, r.producer_id, r.arrival, error, verdict, at if verdict == "duplicate" else -1
+
+    return fold_in_order(incoming.select(*cols), ["part", "producer_id"], "arrival", SequenceHistory, step, VERDICTS)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, out = SequenceHistory(), []
-        for r in pdf.sort_values("arrival").itertuples(index=False):
-            error, at, verdict = h.judge(int(r.epoch), int(r.base_sequence), int(r.last_sequence), int(r.record_count), int(r.arrival))
-            out.append((r.part, r.producer_id, r.arrival, error, verdict, at if verdict == "duplicate" else -1))
-        return pd.DataFrame(out, columns=["part", "producer_id", "arrival", "error_code", "verdict", "dup_of"])
 
-    return incoming.groupBy("part", "producer_id").applyInPandas(fold, VERDICTS)
+def extend_ranges(ranges: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(txn_id, part, first_offset, last_offset) after duplicates of stored transactional batches were
+    answered: the range of the open transaction takes in what they repeat."""
+    cols = ["txn_id", "part", "first_offset", "last_offset"]
+    return merge_ranges(ranges.select(*cols).unionByName(repeats.select(*cols)))
 
 
 def batch_errors(batches: DataFrame, producers: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ small; keys are spread over tasks.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .running import fold_in_order
 
 LAST_EPOCH, LONGEST = 32767, 900_000
 
@@ -27,8 +29,8 @@ class Transactions:
 
     def apply(self, e) -> tuple[int, dict]:
         """(error, offsets that the event applied)."""
-        if self.open and e.at - self.open["since"] >= self.timeout and not (e.kind == "append" and e.at == self.open["since"]):
-            self._finish(False)
+        if self.open and not self.open["flight"] and e.at - self.open["since"] >= self.timeout:
+            self._finish(False)  # appends under way hold expiry off
         if e.kind == "init":
             if e.txn_id == "":
                 return 53, {}
@@ -47,7 +49,7 @@ class Transactions:
         if e.epoch not in (-1, self.epoch):
             return (47 if e.kind == "append" else 90), {}
         if e.kind == "add_partition":
-            self.open = self.open or {"since": e.at, "parts": {}, "groups": [], "staged": {}}
+            self.open = self.open or {"since": e.at, "parts": {}, "groups": [], "staged": {}, "flight": 0}
             self.open["parts"].setdefault(int(e.part), None)
             return 0, {}
         if not self.open:
@@ -61,9 +63,13 @@ class Transactions:
             if e.group_id not in self.open["groups"]:
                 return 48, {}
             self.open["staged"][e.group_id, int(e.part)] = int(e.offset)
-        elif e.kind == "append":
+        elif e.kind in ("reserve", "append"):
             if int(e.part) not in self.open["parts"]:
                 return 48, {}
+            if e.kind == "reserve":
+                self.open["flight"] += 1
+                return 0, {}
+            self.open["flight"] = max(0, self.open["flight"] - 1)
             old = self.open["parts"][int(e.part)] or (int(e.offset), int(e.offset))
             self.open["parts"][int(e.part)] = (min(old[0], int(e.offset)), max(old[1], int(e.offset)))
         else:
@@ -77,20 +83,17 @@ TXN_OUT = "txn_id string, arrival long, error_code int, epoch int, state string,
 def fold_transactions(events: DataFrame) -> DataFrame:
     """Verdict and state after each event.
 
-    ``events``: txn_id, arrival, at, kind (init, add_partition, add_offsets, stage, append, commit, abort),
+    ``events``: txn_id, arrival, at, kind (init, add_partition, add_offsets, stage, reserve (an append begins), append, commit, abort),
     producer_id and epoch (-1: the right ones), timeout, part, group_id, offset.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, out = Transactions(), []
-        for e in pdf.sort_values("arrival").itertuples(index=False):
-            error, applied = t.apply(e)
-            parts = t.open["parts"] if t.open else {}
-            ranges = " ".join(f"{p}:{r[0]}-{r[1]}" for p, r in sorted(parts.items()) if r)
-            out.append((e.txn_id, e.arrival, error, t.epoch, "open" if t.open else t.last, ranges, " ".join(f"{g}/{p}={o}" for (g, p), o in sorted(applied.items()))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TXN_OUT.split(", ")])
+    def step(t, e):
+        error, applied = t.apply(e)
+        parts = t.open["parts"] if t.open else {}
+        ranges = " ".join(f"{p}:{r[0]}-{r[1]}" for p, r in sorted(parts.items()) if r)
+        return e.txn_id, e.arrival, error, t.epoch, "open" if t.open else t.last, ranges, " ".join(f"{g}/{p}={o}" for (g, p), o in sorted(applied.items()))
 
-    return events.groupBy("txn_id").applyInPandas(fold, TXN_OUT)
+    return fold_in_order(events, ["txn_id"], "arrival", Transactions, step, TXN_OUT)
 
 
 class Group:
@@ -98,6 +101,7 @@ class Group:
 
     def __init__(self):
         self.status, self.generation, self.leader, self.protocol = "empty", 0, None, None
+        self.kind = None
         self.members: dict[str, dict] = {}
         self.joined: set[str] = set()
         self.pending: dict[str, int] = {}
@@ -127,6 +131,13 @@ class Group:
         elif gone:
             self._rebalance(at)
 
+    def _leave(self, member: str, at: int) -> None:
+        """A member goes by itself: the last one missing from a join completes it."""
+        preparing = self.status == "preparing"
+        self._drop([member], at)
+        if self.members and preparing and self.joined >= set(self.members):
+            self._complete(at)
+
     def tick(self, at: int) -> None:
         self.pending = {m: d for m, d in self.pending.items() if d > at}
         if self.status == "stable":
@@ -151,20 +162,21 @@ class Group:
             protocols = list(e.protocols)
             if e.session_timeout <= 0 or e.rebalance_timeout <= 0:
                 return 26, e.member_id
-            if not protocols:
+            kind = getattr(e, "protocol_type", "consumer")
+            if not protocols or not kind:
                 return 23, e.member_id
             if e.member_id == "":
                 new = f"member-{e.arrival}"
                 self.pending[new] = at + int(e.session_timeout)
                 return 79, new
-            if e.member_id not in self.members and e.member_id not in self.pending:
+            if e.member_id not in self.members and self.pending.pop(e.member_id, None) is None:
                 return 25, e.member_id
             others = [m["protocols"] for k, m in self.members.items() if k != e.member_id]
-            if others and not any(all(p in o for o in others) for p in protocols):
+            if others and (kind != self.kind or not any(all(p in o for o in others) for p in protocols)):
                 return 23, e.member_id
-            self.pending.pop(e.member_id, None)
+            self._rebalance(at)  # its deadline is that of the members so far
+            self.kind = kind
             self.members[e.member_id] = {"protocols": protocols, "session": int(e.session_timeout), "rebalance": int(e.rebalance_timeout), "seen": at}
-            self._rebalance(at)
             self.joined.add(e.member_id)
             if self.joined >= set(self.members):
                 self._complete(at)
@@ -175,12 +187,15 @@ class Group:
         if error:
             return error, e.member_id
         if e.kind == "leave":
-            self._drop([e.member_id], at)
+            self._leave(e.member_id, at)
         elif e.kind == "sync":
-            if self.status == "preparing":
-                return 27, e.member_id
-            if self.status == "completing" and e.member_id == self.leader:
+            if self.status == "completing" and getattr(e, "assigned", e.member_id == self.leader):
+                if e.member_id != self.leader:
+                    return 22, e.member_id
                 self.status = "stable"
+            if self.status != "stable":
+                return 27, e.member_id
+            self.members[e.member_id]["seen"] = at
         elif e.kind == "heartbeat":
             self.members[e.member_id]["seen"] = at
             if self.status != "stable":
@@ -195,14 +210,22 @@ def fold_groups(events: DataFrame) -> DataFrame:
     """Verdict and group state after each event.
 
     ``events``: group_id, arrival, at, kind (join, sync, heartbeat, leave, commit), member_id, generation,
-    session_timeout, rebalance_timeout, protocols. A new member's id is made from the arrival.
+    session_timeout, rebalance_timeout, protocols; optional: protocol_type (else consumer) and assigned
+    (whether a sync brings assignments; else the leader's does). A new member's id is made from the
+    arrival. Nothing waits: during a rebalance the verdict is that of the moment.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, out = Group(), []
-        for e in pdf.sort_values("arrival").itertuples(index=False):
-            error, member = g.apply(e)
-            out.append((e.group_id, e.arrival, error, member, g.status, g.generation, g.leader, g.protocol, len(g.members)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in GROUP_OUT.split(", ")])
+    def step(g, e):
+        error, member = g.apply(e)
+        return e.group_id, e.arrival, error, member, g.status, g.generation, g.leader, g.protocol, len(g.members)
+
+    return fold_in_order(events, ["group_id"], "arrival", Group, step, GROUP_OUT)
+
+
+def completed(transactions: DataFrame) -> DataFrame:
+    """Every end that a fold of transactions came to, in order: (txn_id, arrival, epoch, state, nth)."""
+    from pyspark.sql import Window
 
-    return events.groupBy("group_id").applyInPandas(fold, GROUP_OUT)
+    w = Window.partitionBy("txn_id").orderBy("arrival")
+    ended = transactions.withColumn("_was", F.lag("state").over(w)).where("_was = 'open' and state in ('committed', 'aborted')")
+    return ended.select("txn_id", "arrival", "epoch", "state", F.row_number().over(w).cast("long").alias("nth"))

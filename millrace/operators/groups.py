@@ -98,3 +98,34 @@ def replayed_generations(events: DataFrame) -> DataFrame:
     """Membership event log -> generation after each completed join, by counting completions."""
     w = Window.partitionBy("group_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("generation", F.sum(F.when(F.col("kind") == "complete", 1).otherwise(0)).over(w).cast("long"))
+
+
+def append_commits(journal: DataFrame, values: DataFrame) -> DataFrame:
+    """The journal after new commits: they follow what is there, in order of arrival."""
+    top = journal.agg(F.coalesce(F.max("journal_seq"), F.lit(0)).alias("_top"))  # one row
+    new = values.join(F.broadcast(top)).withColumn("journal_seq", F.col("_top") + F.col("arrival"))
+    return journal.unionByName(new.select(*journal.columns))
+
+
+IMAGE = "struct<format:int,status:string,generation:bigint,leader:string,members:array<struct<member_id:string,session_timeout:bigint,rebalance_timeout:bigint,protocols:array<string>,last_heartbeat:bigint>>>"
+
+
+def encode_groups(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(group_id, image): each group with its members, by joining, as text in format 1."""
+    cols = ["member_id", "session_timeout", "rebalance_timeout", "protocols", "last_heartbeat"]
+    m = members.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("joined", *cols))).alias("ms"))
+    ms = F.transform(F.coalesce("ms", F.array().cast(f"array<struct<joined:bigint,{IMAGE.split('array<struct<', 1)[1][:-3]}>>")), lambda x: F.struct(*[x[c].alias(c) for c in cols]))
+    g = groups.join(m, "group_id", "left")
+    return g.select("group_id", F.to_json(F.struct(F.lit(1).alias("format"), "status", "generation", "leader", ms.alias("members"))).alias("image"))
+
+
+def install_groups(images: DataFrame, now: int) -> DataFrame:
+    """Members of decoded images; heartbeats count from the installation. Other formats are refused."""
+    r = images.withColumn("i", F.from_json("image", IMAGE)).where("i.format = 1")
+    m = r.select("group_id", "i.status", "i.generation", "i.leader", F.posexplode_outer("i.members").alias("place", "m"))
+    return m.select("group_id", "status", "generation", "leader", "m.member_id", "m.session_timeout", "m.protocols", F.lit(now).cast("long").alias("last_heartbeat"))
+
+
+def member_id(client: Column) -> Column:
+    """A new member's id: the client's name, or "consumer", and a random UUID."""
+    return F.concat(F.when(F.length(client) > 0, client).otherwise(F.lit("consumer")), F.lit("-"), F.uuid())

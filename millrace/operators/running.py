@@ -7,8 +7,14 @@ short table of blocks gets its prefix, and rows only look inside their block.
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _same(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -42,3 +48,27 @@ def valid_prefix(df: DataFrame, valid: str, by: list[str], block: str, order: st
     broken = df.where(~F.col(valid)).groupBy(*by).agg(F.min(order).alias("_first_bad"))
     out = _same(df, broken, by, "left")
     return out.where(F.col("_first_bad").isNull() | (F.col(order) < F.col("_first_bad"))).drop("_first_bad")
+
+
+def fold_in_order(df: DataFrame, by: list[str], order: str, start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
+    """A state machine over the rows of each key in ``order``: one output row for each row.
+
+    ``start()`` makes a key's state, ``step(state, row)`` changes it and gives the output row. Rows
+    are dealt out by key, sorted, and streamed in Arrow batches: only the state of one key is
+    held, however many rows the key has. Several keys share a task.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names = [*by, *[c for c in df.columns if c not in by]]
+
+    def run(batches):
+        row, key, state = namedtuple("row", names), None, None
+        for batch in batches:
+            out = []
+            for values in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
+                if values[: len(by)] != key or state is None:
+                    key, state = values[: len(by)], start()
+                out.append(step(state, row(*values)))
+            cols = zip(*out, strict=True) if out else [[] for _ in arrow]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.select(*names).repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)

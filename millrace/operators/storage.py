@@ -7,10 +7,12 @@ high_watermark).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_sum
+from .running import fold_in_order
 
 
 def watermarks(batches: DataFrame, lag: int) -> DataFrame:
@@ -78,9 +80,16 @@ def request_budget(pages: DataFrame, max_bytes: int) -> DataFrame:
 
 
 def offset_for_time(batches: DataFrame, asks: DataFrame) -> DataFrame:
-    """For each (part, t): the base of the first batch whose newest record is at ``t`` or later, else -1."""
-    hit = F.when(F.col("max_ts") >= F.col("t"), F.col("base_offset"))
-    return asks.join(batches, "part", "left").groupBy("part", "t").agg(F.coalesce(F.min(hit), F.lit(-1)).alias("base_offset"))
+    """For each (part, t): the base of the first batch whose newest record is at ``t`` or later, else -1.
+
+    The first segment whose newest time reaches ``t`` holds that batch, so an ask looks at the short
+    table of segments and then at the batches of one.
+    """
+    tops = batches.groupBy("part", "seg").agg(F.max("max_ts").alias("top"))
+    first = asks.join(tops, "part").where(F.col("top") >= F.col("t")).groupBy("part", "t").agg(F.min("seg").alias("seg"))
+    hit = first.join(batches.select("part", "seg", "base_offset", "max_ts"), ["part", "seg"]).where(F.col("max_ts") >= F.col("t"))
+    found = hit.groupBy("part", "t").agg(F.min("base_offset").alias("base_offset"))
+    return asks.join(found, ["part", "t"], "left").select("part", "t", F.coalesce("base_offset", F.lit(-1)).alias("base_offset"))
 
 
 def segment_stats(batches: DataFrame) -> DataFrame:
@@ -95,10 +104,20 @@ def _closed(stats: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def retire_by_time(batches: DataFrame, marks: DataFrame, cut: int) -> DataFrame:
-    """Segments to retire: from the oldest on, while closed, committed and strictly older than ``cut``."""
-    s = _closed(segment_stats(batches), marks).withColumn("ok", F.col("closed") & (F.col("max_ts") < cut))
+    """Segments to retire: from the oldest on, while closed, committed and strictly older than ``cut``.
+
+    A segment is as old as its newest record; where no record has a time (0 or less), as the last
+    change of its file (column ``mtime``, if there is one; else it stays).
+    """
+    stats = segment_stats(batches)
+    if "mtime" in batches.columns:
+        stats = stats.join(batches.groupBy("part", "seg").agg(F.max("mtime").alias("mtime")), ["part", "seg"])
+    else:
+        stats = stats.withColumn("mtime", F.lit(None).cast("long"))
+    age = F.when(F.col("max_ts") > 0, F.col("max_ts")).otherwise(F.col("mtime"))
+    s = _closed(stats, marks).withColumn("ok", F.col("closed") & F.coalesce(age < cut, F.lit(False)))
     first_kept = s.where(~F.col("ok")).groupBy("part").agg(F.min("seg").alias("kept"))
-    return s.join(first_kept, "part", "left").where(F.col("kept").isNull() | (F.col("seg") < F.col("kept"))).select("part", "seg")
+    return s.join(first_kept, "part", "left").where(F.col("kept").isNull() | (F.col("seg") < F.col("kept"))).select("part", "seg").orderBy("part", "seg")
 
 
 def retire_by_size(batches: DataFrame, marks: DataFrame, budget: int) -> DataFrame:
@@ -116,9 +135,10 @@ def latest_by_key(records: DataFrame) -> DataFrame:
 
 
 def superseded(batches: DataFrame, records: DataFrame, marks: DataFrame) -> DataFrame:
-    """Batches that compaction drops: plain, decodable, in closed committed segments, every record
-    with a key that has a newer offset anywhere in the log."""
-    plain = batches.where(~F.col("transactional")).join(_closed(segment_stats(batches), marks).select("part", "seg", "closed"), ["part", "seg"])
+    """Batches that compaction drops: plain (neither transactional nor control), decodable, in closed
+    committed segments, every record with a key that has a newer offset anywhere in the log."""
+    data = batches.where(~F.coalesce("control", F.lit(False))) if "control" in batches.columns else batches
+    plain = data.where(~F.col("transactional")).join(_closed(segment_stats(batches), marks).select("part", "seg", "closed"), ["part", "seg"])
     rows = records.join(plain.select("part", "base_offset", "closed"), ["part", "base_offset"])
     newer = F.coalesce(F.col("latest") > F.col("off"), F.lit(False))
     rows = rows.join(latest_by_key(rows), ["part", "k"], "left")
@@ -131,42 +151,48 @@ def compact(batches: DataFrame, records: DataFrame, marks: DataFrame) -> DataFra
 
 
 def maintain(batches: DataFrame, records: DataFrame, marks: DataFrame, cut: int, budget: int) -> DataFrame:
-    """One maintenance pass: compaction, then age, then size."""
+    """One maintenance pass: compaction, then age, then size.
+
+    Both retention rules are prefixes of a partition's closed segments, so one table of segments
+    decides: those that age retires come off the total that the size rule sees.
+    """
     left = compact(batches, records, marks)
-    left = left.join(retire_by_time(left, marks, cut), ["part", "seg"], "left_anti")
-    return left.join(retire_by_size(left, marks, budget), ["part", "seg"], "left_anti")
+    s = _closed(segment_stats(left), marks)
+    upto = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    old = F.col("closed") & (F.col("max_ts") > 0) & (F.col("max_ts") < cut)
+    s = s.withColumn("old", F.min(old.cast("int")).over(upto) == 1)
+    whole = Window.partitionBy("part")
+    s = s.withColumn("rest", F.sum(F.when(F.col("old"), 0).otherwise(F.col("size_bytes"))).over(whole))
+    s = s.withColumn("gone", F.sum(F.when(F.col("old"), 0).otherwise(F.col("size_bytes"))).over(upto) - F.col("size_bytes"))
+    stays = ~F.col("old") & ~(F.col("closed") & (F.col("rest") - F.col("gone") > budget))
+    return left.join(s.where(stays).select("part", "seg"), ["part", "seg"], "left_semi")
 
 
 def roll_segments(batches: DataFrame, max_bytes: int) -> DataFrame:
     """(part, base_offset, segment_base): a segment rolls when the next batch would exceed ``max_bytes``.
 
-    A sum that starts anew at each roll is no window; every partition is one ordered fold, in
-    JVM expressions over its (offset, size) pairs.
+    A sum that starts anew at each roll is no window; every partition is an ordered fold that
+    carries two numbers.
     """
-    item = F.struct("base_offset", "size_bytes")
-    zero = F.struct(F.lit(-1).cast("long").alias("base"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<b:bigint,s:bigint>>").alias("out"))
 
-    def step(a, x):
-        roll = (a["base"] < 0) | ((a["size"] > 0) & (a["size"] + x["size_bytes"] > max_bytes))
-        base = F.when(roll, x["base_offset"]).otherwise(a["base"])
-        size = F.when(roll, x["size_bytes"]).otherwise(a["size"] + x["size_bytes"])
-        return F.struct(base.cast("long").alias("base"), size.cast("long").alias("size"), F.array_append(a["out"], F.struct(x["base_offset"].alias("b"), base.cast("long").alias("s"))).alias("out"))
+    def step(state, r):
+        if state[0] < 0 or (state[1] > 0 and state[1] + r.size_bytes > max_bytes):
+            state[:] = [r.base_offset, 0]
+        state[1] += r.size_bytes
+        return r.part, r.base_offset, state[0]
 
-    g = batches.groupBy("part").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return g.select("part", F.explode(F.aggregate("items", zero, step)["out"]).alias("r")).select("part", F.col("r.b").alias("base_offset"), F.col("r.s").alias("segment_base"))
+    return fold_in_order(batches.select("part", "base_offset", "size_bytes"), ["part"], "base_offset", lambda: [-1, 0], step, "part int, base_offset long, segment_base long")
 
 
 def digest_chain(batches: DataFrame) -> DataFrame:
     """(part, base_offset, digest): each batch's 128-bit digest over the one before and its own."""
-    own = F.concat_ws("|", "base_offset", "last_offset", "size_bytes")
-    g = batches.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("base_offset", own.alias("own")))).alias("items"))
-    zero = F.struct(F.lit("").alias("d"), F.array().cast("array<struct<b:bigint,d:string>>").alias("out"))
 
-    def step(a, x):
-        d = F.substring(F.sha2(F.concat(a["d"], x["own"]), 256), 1, 32)
-        return F.struct(d.alias("d"), F.array_append(a["out"], F.struct(x["base_offset"].alias("b"), d.alias("d"))).alias("out"))
+    def step(state, r):
+        own = f"{state[0]}{r.base_offset}|{r.last_offset}|{r.size_bytes}"
+        state[0] = hashlib.sha256(own.encode()).hexdigest()[:32]
+        return r.part, r.base_offset, state[0]
 
-    return g.select("part", F.explode(F.aggregate("items", zero, step)["out"]).alias("r")).select("part", F.col("r.b").alias("base_offset"), F.col("r.d").alias("digest"))
+    return fold_in_order(batches.select("part", "base_offset", "last_offset", "size_bytes"), ["part"], "base_offset", lambda: [""], step, "part int, base_offset long, digest string")
 
 
 def common_prefix(leader: DataFrame, follower: DataFrame) -> DataFrame:
@@ -188,6 +214,69 @@ def truncate(batches: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def admit(batches: DataFrame, free: int, least: int) -> DataFrame:
-    """Disk admission, batch by batch in order within a partition: error 56 once the room is short."""
-    out = running_sum(batches, "size_bytes", ["part"], "seg", "base_offset", "cum_bytes")
-    return out.withColumn("error_code", F.when(F.lit(free) - F.col("cum_bytes") < least, F.lit(56)).otherwise(F.lit(0)))
+    """Disk admission, batch by batch in order within a partition: error 56 where ``least`` would not stay free.
+
+    A refused batch takes no room, so a smaller one after it may be admitted.
+    """
+
+    def step(state, r):
+        refused = state[0] - r.size_bytes < least
+        state[0] -= 0 if refused else r.size_bytes
+        return r.part, r.base_offset, 56 if refused else 0
+
+    return fold_in_order(batches.select("part", "base_offset", "size_bytes"), ["part"], "base_offset", lambda: [free], step, "part int, base_offset long, error_code int")
+
+
+def rewrite_segments(batches: DataFrame, kept: DataFrame) -> DataFrame:
+    """What happens to each segment when only ``kept`` (part, base_offset) stays: whole, rewritten or retired."""
+    k = kept.select("part", "base_offset", F.lit(1).alias("_stays"))
+    g = batches.join(k, ["part", "base_offset"], "left").groupBy("part", "seg")
+    stays = F.col("_stays").isNotNull()
+    out = g.agg(F.count_if(stays).alias("kept"), F.count_if(~stays).alias("dropped"), F.coalesce(F.sum(F.when(~stays, F.col("size_bytes"))), F.lit(0)).cast("long").alias("reclaimed"))
+    return out.withColumn("action", F.when(F.col("kept") == 0, "retire").when(F.col("dropped") > 0, "rewrite").otherwise("whole"))
+
+
+def lifecycle_totals(batches: DataFrame, after_compaction: DataFrame, after_all: DataFrame) -> DataFrame:
+    """(runs, retired, compacted, reclaimed) of one maintenance pass over all partitions."""
+    segs = lambda d: d.select("part", "seg").distinct()
+    retired = segs(batches).join(segs(after_all), ["part", "seg"], "left_anti").agg(F.count(F.lit(1)).alias("retired"))
+    size = lambda d, n: d.agg(F.count(F.lit(1)).alias(f"n_{n}"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias(f"b_{n}"))
+    # four tables of one row each
+    one = size(batches, "all").join(size(after_compaction, "mid")).join(size(after_all, "end")).join(retired)
+    return one.select(F.lit(1).alias("runs"), "retired", (F.col("n_all") - F.col("n_mid")).alias("compacted"), (F.col("b_all") - F.col("b_end")).alias("reclaimed"))
+
+
+def advance_watermarks(moves: DataFrame, marks: DataFrame) -> DataFrame:
+    """(part, seq, to, high_watermark, ok): moves in order never go back; one beyond the log end fails and changes nothing."""
+    m = moves.join(marks.select("part", "log_end", F.col("high_watermark").alias("_at")), "part")
+    ok = F.col("to") <= F.col("log_end")
+    w = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.greatest(F.col("_at"), F.coalesce(F.max(F.when(ok, F.col("to"))).over(w), F.col("_at")))
+    return m.select("part", "seq", "to", reach.alias("high_watermark"), ok.alias("ok"))
+
+
+def reset_replica(batches: DataFrame, resets: DataFrame) -> DataFrame:
+    """(part, log_start, log_end, n): logs after some are emptied at a start offset."""
+    held = batches.groupBy("part").agg(F.min("base_offset").alias("s"), (F.max("last_offset") + 1).alias("e"), F.count(F.lit(1)).alias("c"))
+    r = held.join(resets, "part", "left")
+    return r.select("part", F.coalesce("start", "s").alias("log_start"), F.coalesce("start", "e").alias("log_end"), F.when(F.col("start").isNotNull(), 0).otherwise(F.col("c")).alias("n"))
+
+
+def copy_chunks(batches: DataFrame, marks: DataFrame, chunk_bytes: int) -> DataFrame:
+    """The committed log in chunks of at most ``chunk_bytes`` (a larger batch alone): (part, base_offset, chunk)."""
+    done = batches.join(marks.select("part", "high_watermark"), "part").where("last_offset < high_watermark")
+
+    def step(state, r):
+        if state[0] < 0 or state[1] + r.size_bytes > chunk_bytes:
+            state[:] = [state[0] + 1, 0]
+        state[1] += r.size_bytes
+        return r.part, r.base_offset, state[0]
+
+    return fold_in_order(done.select("part", "base_offset", "size_bytes"), ["part"], "base_offset", lambda: [-1, 0], step, "part int, base_offset long, chunk long")
+
+
+def cleanup_policy(raw: Column) -> Column:
+    """delete, compact or both from a list in any case, order and spacing; else unsupported."""
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")))
+    text = F.concat_ws(",", names)
+    return F.when(text.isin("delete", "compact", "compact,delete"), text).otherwise("unsupported")

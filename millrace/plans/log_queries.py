@@ -144,9 +144,11 @@ kept as (select b.* from batches b where not exists (select 1 from rm where rm.p
 CLOSED0 = SEGS.replace("s as", "s0 as").replace("a as", "a0 as").replace("c as", "c0 as").replace("from s ", "from s0 ").replace("s.", "s0.").replace("from s0 join a on a.part", "from s0 join a0 a on a.part").format("batches")
 
 
-@query("batches marks", f"with {SEGS.format('batches')} {TIME.format(cut=1015000)}")
+@query("aged marks", """with g as (select part, seg, max(max_ts) as mx, max(mtime) as mt, max(last_offset) as ml from aged group by part, seg),
+c as (select g.part, g.seg, g.seg < max(g.seg) over (partition by g.part) and g.ml < m.high_watermark and (case when g.mx > 0 then g.mx else g.mt end) < 1015000 as ok from g join marks m on m.part = g.part)
+select part, seg from c where ok and not exists (select 1 from c x where x.part = c.part and x.seg < c.seg and not x.ok)""")
 def retention_time(t: Views):
-    return s.retire_by_time(t.batches, t.marks, 1015000)
+    return s.retire_by_time(t.aged, t.marks, 1015000)
 
 
 @query("batches marks", f"with {SEGS.format('batches')} {SIZE.format(budget=20000)}")
@@ -164,11 +166,12 @@ def compact_batches(t: Views):
     return s.compact(t.batches, t.records, t.marks).select("part", "base_offset")
 
 
-@query("records batches marks", f"""with {CLOSED0}, {KEEP}, {SEGS.format('kept')}, old as ({TIME.format(cut=1015000)}),
-kept2 as (select k.* from kept k where not exists (select 1 from old where old.part = k.part and old.seg = k.seg)),
-{SEGS.format('kept2').replace('s as', 's2 as', 1).replace('a as', 'a2 as', 1).replace('c as', 'c2 as', 1).replace('from s group', 'from s2 group').replace('s.*, s.seg < a.a and s.ml', 's2.*, s2.seg < a2.a and s2.ml').replace('from s join a on a.part = s.part join marks m on m.part = s.part', 'from s2 join a2 on a2.part = s2.part join marks m on m.part = s2.part')},
-big as ({SIZE.format(budget=20000).replace('from c ', 'from c2 c ').replace('from c group', 'from c2 group')})
-select part, base_offset from kept2 k where not exists (select 1 from big where big.part = k.part and big.seg = k.seg)""")
+@query("records batches marks", f"""with {CLOSED0}, {KEEP},
+g as (select k.part, k.seg, max(k.max_ts) as mx, sum(k.size_bytes) as z, max(k.last_offset) as ml from kept k group by k.part, k.seg),
+h as (select g.*, g.seg < max(g.seg) over (partition by g.part) and g.ml < m.high_watermark as closed from g join marks m on m.part = g.part),
+young as (select * from h where not (closed and mx < 1015000) or exists (select 1 from h x where x.part = h.part and x.seg < h.seg and not (x.closed and x.mx < 1015000))),
+last as (select *, seg < max(seg) over (partition by part) and closed as shut, sum(z) over (partition by part) - coalesce(sum(z) over (partition by part order by seg rows between unbounded preceding and 1 preceding), 0) as rest from young)
+select k.part, k.base_offset from kept k join last on last.part = k.part and last.seg = k.seg where not (last.shut and last.rest > 20000)""")
 def lifecycle_combined(t: Views):
     return s.maintain(t.batches, t.records, t.marks, 1015000, 20000).select("part", "base_offset")
 
@@ -190,17 +193,21 @@ def segment_rollover(t: Views):
     return s.roll_segments(t.batches, 7000)
 
 
-@query("batches", """with recursive o as (select part, base_offset, base_offset || '|' || last_offset || '|' || size_bytes as own, row_number() over (partition by part order by base_offset) as rn from batches where base_offset < 400),
+@query("batches", """with recursive o as (select part, base_offset, base_offset || '|' || last_offset || '|' || size_bytes as own, row_number() over (partition by part order by base_offset) as rn from batches),
 f as (select part, base_offset, substr(sha256(own), 1, 32) as digest, rn from o where rn = 1
   union all select o.part, o.base_offset, substr(sha256(f.digest || o.own), 1, 32), o.rn from f join o on o.part = f.part and o.rn = f.rn + 1)
 select part, base_offset, digest from f""")
 def digest_chain(t: Views):
-    return s.digest_chain(t.batches.where("base_offset < 400"))
+    return s.digest_chain(t.batches)
 
 
-@query("batches", "select part, case when part = 0 then 0 else 30 + 20 * part end as common_end from (select distinct part from batches)")
+@query("batches", """with recursive o as (select part, base_offset, last_offset, base_offset || '|' || last_offset || '|' as own, size_bytes as a,
+    size_bytes + case when base_offset >= case when part = 0 then 0 else part * 20 + 30 end then 1 else 0 end as b, row_number() over (partition by part order by base_offset) as rn from batches),
+f as (select part, last_offset, substr(sha256(own || a), 1, 32) as x, substr(sha256(own || b), 1, 32) as y, rn from o where rn = 1
+  union all select o.part, o.last_offset, substr(sha256(f.x || o.own || o.a), 1, 32), substr(sha256(f.y || o.own || o.b), 1, 32), o.rn from f join o on o.part = f.part and o.rn = f.rn + 1)
+select part, cast(coalesce(max(last_offset + 1) filter (x = y), 0) as int) as common_end from f group by part""")
 def common_prefix(t: Views):
-    ours = t.batches.where("base_offset < 300")
+    ours = t.batches
     lead = ours.join(s.digest_chain(ours), ["part", "base_offset"])
     differs = F.col("base_offset") >= F.when(F.col("part") == 0, 0).otherwise(F.col("part") * 20 + 30)
     theirs = s.digest_chain(ours.withColumn("size_bytes", F.col("size_bytes") + differs.cast("long")))
@@ -213,7 +220,10 @@ def truncate_replica(t: Views):
     return s.truncate(t.batches, cuts).select("part", "base_offset", "bad_cut")
 
 
-@query("batches", "select part, base_offset, case when 9000 - sum(size_bytes) over (partition by part order by base_offset) < 1000 then 56 else 0 end as error_code from batches")
+@query("batches", """with recursive o as (select part, base_offset, size_bytes as z, row_number() over (partition by part order by base_offset) as rn from batches),
+f as (select distinct part, -1::bigint as base_offset, 9000::bigint as room, 0 as error_code, 0::bigint as rn from o
+  union all select o.part, o.base_offset, case when f.room - o.z < 1000 then f.room else f.room - o.z end, case when f.room - o.z < 1000 then 56 else 0 end, o.rn from f join o on o.part = f.part and o.rn = f.rn + 1)
+select part, base_offset, error_code from f where rn > 0""")
 def disk_admission(t: Views):
     return s.admit(t.batches, 9000, 1000).select("part", "base_offset", "error_code")
 
@@ -259,6 +269,19 @@ def sequence_verdict(t: Views):
     return d.judge_sequences(t.sequenced.select("part", "producer_id", "epoch", "arrival", "base_sequence", "last_sequence", "record_count"))
 
 
+@query("reopened", """with recursive o as (select part, producer_id, arrival, epoch as ep, base_sequence as b, (base_sequence + record_count - 1) as e, record_count as c, transactional as x, row_number() over (partition by part, producer_id order by arrival) as rn from reopened),
+f as (select part, producer_id, -1::bigint as arrival, 0::bigint as rn, -1::bigint as cur, []::struct(b bigint, e bigint, c bigint, x boolean, a bigint)[] as kept, '' as verdict, -1::bigint as dup_of from (select distinct part, producer_id from o)
+  union all
+  select part, producer_id, arrival, rn, case when verdict = 'accepted' then ep else cur end, case when verdict = 'accepted' then list_append(own[greatest(1, len(own) - 3):], {'b': b, 'e': e, 'c': c, 'x': x, 'a': arrival}) else kept end, verdict, dup_of
+  from (select *, case when ep < cur then 'fenced' when b < 0 then 'bad' when dup_of is not null then 'duplicate' when b = (case when len(own) = 0 then 0 else own[len(own)].e + 1 end) then 'accepted' else 'gap' end as verdict
+    from (select o.*, f.cur, f.kept, case when o.ep > f.cur then [] else f.kept end as own,
+        list_filter(case when o.ep > f.cur then [] else f.kept end, lambda k: k.b = o.b and k.e = o.e and k.c = o.c and k.x = o.x)[1].a as dup_of
+      from f join o on o.part = f.part and o.producer_id = f.producer_id and o.rn = f.rn + 1)))
+select part, producer_id, arrival, case verdict when 'fenced' then 47 when 'bad' then 45 when 'gap' then 45 else 0 end as error_code, verdict, case when verdict = 'duplicate' then dup_of else -1 end as dup_of from f where rn > 0""")
+def sequence_epochs(t: Views):
+    return d.judge_sequences(t.reopened.withColumn("last_sequence", F.col("base_sequence") + F.col("record_count") - 1))
+
+
 @query("sequenced", """with p as (select * from (select part, producer_id, base_sequence as b, last_sequence as e, base_offset as o, row_number() over (partition by part, producer_id order by base_offset desc) as age from sequenced) where age <= 5)
 select s.part, s.producer_id, s.base_offset, min(p.o) as original from sequenced s join p on p.part = s.part and p.producer_id = s.producer_id and p.b = s.base_sequence and p.e = s.last_sequence where p.o < s.base_offset group by s.part, s.producer_id, s.base_offset""")
 def duplicate_window(t: Views):
@@ -303,13 +326,13 @@ def txn_expired(t: Views):
 STAGED = "select 't' || cast(o_orderkey % 4 as string) || '-' || cast(o_custkey % 4 as string) as txn_id, 'g' || cast(o_custkey % 7 as string) as group_id, cast(o_orderkey % 4 as int) as part, o_orderkey * 3 as \"offset\", o_orderkey as seq from orders"
 
 
-@query("orders", f"""with z as ({STAGED}), s as (select txn_id, group_id, part, max_by("offset", seq) as "offset", max(seq) as seq from z where seq % 3 = 0 group by txn_id, group_id, part),
-n as (select txn_id, group_id, part, max_by("offset", seq) as "offset", max(seq) as seq from z where seq % 10 = 1 group by txn_id, group_id, part)
+@query("orders", f"""with z as ({STAGED}), s as (select txn_id, group_id, part, max_by("offset", seq) as "offset", max(seq) as seq from z where seq % 3 <> 1 group by txn_id, group_id, part),
+n as (select txn_id, group_id, part, max_by("offset", seq) as "offset", max(seq) as seq from z where seq % 3 = 1 group by txn_id, group_id, part)
 select * from s where not exists (select 1 from n where n.txn_id = s.txn_id and n.group_id = s.group_id and n.part = s.part) union all select * from n""")
 def txn_stage_offsets(t: Views):
     z = t.sql("orders", STAGED)
-    old = z.where("seq % 3 = 0").groupBy("txn_id", "group_id", "part").agg(F.max_by("offset", "seq").alias("offset"), F.max("seq").alias("seq"))
-    return d.stage_offsets(old, z.where("seq % 10 = 1"))
+    old = z.where("seq % 3 <> 1").groupBy("txn_id", "group_id", "part").agg(F.max_by("offset", "seq").alias("offset"), F.max("seq").alias("seq"))
+    return d.stage_offsets(old, z.where("seq % 3 = 1"))
 
 
 @query("orders txns commits", f"""with z as ({STAGED}), st as (select txn_id, group_id, part, max_by("offset", seq) as "offset" from z group by txn_id, group_id, part),

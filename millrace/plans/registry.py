@@ -24,4 +24,4 @@ def query(needs: str, sql: str, skip_oracle: bool = False):
     return add
 
 
-from . import log_queries, state_queries  # noqa: E402, F401
+from . import log_queries, state_queries, write_queries  # noqa: E402, F401

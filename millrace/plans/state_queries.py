@@ -260,10 +260,10 @@ def voter_parse(t: Views):
     return spec.select("s_suppkey", part(1).cast("long").alias("id"), part(2).alias("host"), part(3).cast("int").alias("port"))
 
 
-@query("events", """with h as (select event_id, md5('voter-' || cast(event_id as varchar)) as h from events where event_id < 500)
+@query("events", """with h as (select event_id, md5('voter-' || cast(event_id as varchar)) as h from events)
 select event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::int % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as uuid from h""")
 def name_uuids(t: Views):
-    return t.events.select("event_id", codec.name_uuid_column(F.concat(F.lit("voter-"), F.col("event_id").cast("string"))).alias("uuid")).where("event_id < 500")
+    return t.events.select("event_id", codec.name_uuid_column(F.concat(F.lit("voter-"), F.col("event_id").cast("string"))).alias("uuid"))
 
 
 def _payloads(t: Views):
@@ -315,19 +315,22 @@ def image_latest(t: Views):
     return latest_image(images).select("store", "version", "payload")
 
 
-@query("sequenced", "select part, count(*) as n from sequenced group by part", skip_oracle=True)
-def sequence_verdict_stream(t: Views):
-    """The stateful stream over the same batches, run to the end of its input."""
+def _stream_folder(spark) -> str:
+    """A new folder for a stream's input, output and state: in the shared folder, on one machine a temporary one."""
     import tempfile
+    import uuid
 
-    from ..streaming.ingest import judge_stream
-
-    spark = t.spark
     named = spark.conf.get("spark.checkpoint.dir", None)
     base = f"{named.rstrip('/')}/millrace-stream" if named else f"file://{tempfile.mkdtemp(prefix='millrace-stream-')}"
-    import uuid
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+@query("sequenced", "", skip_oracle=True)
+def sequence_verdict_stream(t: Views):
+    """The stateful stream over the same batches, run to the end of its input."""
+    from ..streaming.ingest import judge_stream
 
-    base = f"{base}/{uuid.uuid4().hex}"
+    spark, base = t.spark, _stream_folder(t.spark)
     cols = ["part", "producer_id", "epoch", "arrival", "base_sequence", "last_sequence", "record_count"]
     t.sequenced.select(*cols).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
@@ -337,9 +340,20 @@ def sequence_verdict_stream(t: Views):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-@query("events", "select cast(user_id % 4 as int) as part, count(*) as n from events group by 1", skip_oracle=False)
+@query("events", "select cast(user_id % 4 as int) as part, count(*) as n from events group by 1")
 def tail_count(t: Views):
-    return t.events.groupBy((F.col("user_id") % 4).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    """A log written to storage and followed by the tail source to its end; every record comes once."""
+    from ..sources.tail import LogTail
+    from ..streaming.ingest import write_once
+
+    spark, base = t.spark, _stream_folder(t.spark)
+    t.offsets.select("part", "off", "k", "value").write.parquet(f"{base}/log")
+    spark.dataSource.register(LogTail)
+    tail = spark.readStream.format("logtail").option("path", f"{base}/log").load()
+    run = tail.writeStream.foreachBatch(write_once(f"{base}/out")).option("checkpointLocation", f"{base}/state").start()
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.parquet(f"{base}/out").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 TXN_EVENTS = """select 't' || cast(o_custkey % 40 as string) as txn_id, o_orderkey as arrival, cast(o_orderkey * 7 as bigint) as at,

@@ -36,6 +36,21 @@ VIEWS: dict[str, tuple[str, str]] = {
           base_offset as arrival,
           cast(floor(bid / 3) * 10 + case when bid % 17 = 0 and bid >= 3 then -10 when bid % 23 = 0 then 5 else 0 end as bigint) as base_sequence
         from plain_batches"""),
+    "aged": ("batches", """
+        select part, seg, base_offset, last_offset, size_bytes, case when seg % 3 = 1 then 0 else max_ts end as max_ts,
+          cast(1000000 + base_offset * 20 as bigint) as mtime from batches"""),
+    "reopened": ("sequenced", """
+        select part, producer_id, arrival, cast(floor(bid / 30) - case when bid % 19 = 18 then 1 else 0 end as bigint) as epoch,
+          cast(case when bid % 30 < 3 then 0 else floor((bid % 30) / 3) * 10 + case when bid % 17 = 0 then -10 when bid % 23 = 0 then 5 else 0 end end as bigint) as base_sequence,
+          record_count, transactional from sequenced"""),
+    "sent": ("events", """
+        select 't' || cast(event_id % 6 as string) as topic, cast(user_id % 3 as int) as part, event_id as arrival, cast(event_id % 3 - 1 as int) as acks,
+          case when event_id % 41 = 0 then null else cast(1 + event_id % 7 as bigint) end as "count", event_id % 37 = 0 as bad from events"""),
+    "moves": ("layout", """
+        select topic, part, case when part % 5 = 0 then null when part % 7 = 1 then @[cast(9 as int)@] when part % 7 = 2 then @[cast(2 as int), cast(2 as int)@] when part % 7 = 3 then replicas
+            when part % 7 = 4 then isr else target end as target from layout
+        union all select topic, part, target from layout where part % 11 = 3
+        union all select 'nowhere', part, target from layout where topic = 't1'"""),
     "sequenced": ("batches", """select *, base_sequence + record_count - 1 as last_sequence from batches"""),
     "marks": ("plain_batches", """
         select part, min(base_offset) as log_start, max(last_offset) + 1 as log_end,
@@ -83,7 +98,7 @@ VIEWS: dict[str, tuple[str, str]] = {
 }
 
 _DIALECT = {
-    "spark": [("@[", "array("), ("@]", ")"), ("@int", "array<int>"), ('"offset"', "`offset`"), ('"current"', "`current`")],
+    "spark": [("@[", "array("), ("@]", ")"), ("@int", "array<int>"), ('"count"', "`count`"), ('"offset"', "`offset`"), ('"current"', "`current`")],
     "duckdb": [("@[", "["), ("@]", "]"), ("@int", "int[]"), (" as string)", " as varchar)")],
 }
 

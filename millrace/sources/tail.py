@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "part int, off long, k long, value double"
 
 
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class Range(InputPartition):
     def __init__(self, path: str, part: int, start: int, end: int):
         self.path, self.part, self.start, self.end = path, part, start, end
@@ -18,7 +21,8 @@ class Range(InputPartition):
 class LogTail(DataSource):
     """``spark.readStream.format("logtail").option("path", ...)``: records after the last offset seen.
 
-    The path holds Parquet files with part, off, k and value. Offsets are a number for each partition;
+    The path (local, or a URI that Arrow's file systems know) holds Parquet files with part, off, k and
+    value. Ends of the log come from the files' footers. Offsets are a number for each partition;
     a restart goes on from the checkpoint, and each range of offsets is one task.
     """
 
@@ -37,19 +41,34 @@ class LogTailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path = options["path"]
         self.step = int(options.get("rangerows", 1 << 20))
+        self.seen: set[str] = set()
+        self.ends: dict[str, int] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
     def latestOffset(self) -> dict:  # noqa: N802
         import pyarrow.parquet as pq
-
-        ends: dict[str, int] = {}
-        for f in sorted(glob.glob(os.path.join(self.path, "*.parquet"))):
-            t = pq.read_table(f, columns=["part", "off"])
-            for p, o in t.group_by("part").aggregate([("off", "max")]).select(["part", "off_max"]).to_pandas().itertuples(index=False):
-                ends[str(int(p))] = max(ends.get(str(int(p)), 0), int(o) + 1)
-        return ends
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        for f in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+            if not f.path.endswith(".parquet") or f.path in self.seen:
+                continue
+            self.seen.add(f.path)
+            with store.open_input_file(f.path) as at:
+                file = pq.ParquetFile(at)
+                place = {file.metadata.schema.column(i).name: i for i in range(file.metadata.num_columns)}
+                for g in range(file.num_row_groups):
+                    p, o = (file.metadata.row_group(g).column(place[c]).statistics for c in ("part", "off"))
+                    if p and o and p.has_min_max and o.has_min_max and p.min == p.max:
+                        rows = [(p.min, o.max)]
+                    else:  # several partitions in one row group
+                        t = file.read_row_group(g, columns=["part", "off"]).group_by("part").aggregate([("off", "max")])
+                        rows = zip(t["part"].to_pylist(), t["off_max"].to_pylist(), strict=True)
+                    for part, off in rows:
+                        self.ends[str(int(part))] = max(self.ends.get(str(int(part)), 0), int(off) + 1)
+        return dict(self.ends)
 
     def partitions(self, start: dict, end: dict):
         return [
@@ -62,5 +81,6 @@ class LogTailReader(DataSourceStreamReader):
         import pyarrow.dataset as ds
 
         want = (ds.field("part") == r.part) & (ds.field("off") >= r.start) & (ds.field("off") < r.end)
-        t = ds.dataset(self.path, format="parquet").to_table(columns=["part", "off", "k", "value"], filter=want).sort_by("off")
+        store, root = _store(self.path)
+        t = ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["part", "off", "k", "value"], filter=want).sort_by("off")
         yield from t.to_batches()

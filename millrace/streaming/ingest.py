@@ -22,6 +22,8 @@ def judge_stream(incoming: DataFrame) -> DataFrame:
     batches whatever the length of the stream.
     """
 
+    kind = "transactional" in incoming.columns
+
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         h = SequenceHistory()
         if state.exists:
@@ -29,7 +31,7 @@ def judge_stream(incoming: DataFrame) -> DataFrame:
             h = SequenceHistory(int(epoch), [tuple(x) for x in json.loads(kept)])
         out = []
         for r in pd.concat(list(pdfs)).sort_values("arrival").itertuples(index=False):
-            error, at, verdict = h.judge(int(r.epoch), int(r.base_sequence), int(r.last_sequence), int(r.record_count), int(r.arrival))
+            error, at, verdict = h.judge(int(r.epoch), int(r.base_sequence), int(r.last_sequence), int(r.record_count), int(r.arrival), bool(r.transactional) if kind else False)
             out.append((int(key[0]), int(key[1]), int(r.arrival), error, verdict, at if verdict == "duplicate" else -1))
         state.update((h.epoch, json.dumps(h.kept)))
         yield pd.DataFrame(out, columns=["part", "producer_id", "arrival", "error_code", "verdict", "dup_of"])
