@@ -16,6 +16,8 @@ from .components import components
 SAMPLE, MAX_CELLS = 4096, 512
 #: Vectors on each side of a block comparison, about.
 BLOCK = 16384
+#: Visitors that meet a block of homes at once, and pairs that are computed at once.
+GUESTS, PAIRS = 128, 1 << 16
 #: Standard deviations of the estimate within which a pair is computed exactly.
 DEVIATIONS = 8.0
 
@@ -104,6 +106,20 @@ def placed(x: np.ndarray, n: int, slack: float) -> np.ndarray:
     return c if work.mean() < 0.5 else c[:1]
 
 
+def joined_roots(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after links (a, b): each node has the smallest node of its tree."""
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        low = low.copy()
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
 def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", least: float = 0.95) -> DataFrame:
     """(id, n_links, component, kept) for each row: links of cosine ``least`` or more.
 
@@ -166,32 +182,22 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
         codes = np.stack([np.frombuffer(c, np.uint8) for c in h["code"]])
         factor, unit_g = h["factor"].to_numpy(), unit(gx)
         hid, gid, copies = h["rep"].to_numpy(), g["rep"].to_numpy(), g["copies"].to_numpy()
-        found_p, found_q = [], []
-        for s in range(0, len(g), 512):
-            p, q = may_link(codes, factor, unit_g[s : s + 512], turn, least, DEVIATIONS)
+        ids, at = np.unique(np.concatenate([hid, gid]), return_inverse=True)
+        at_h, at_g, low = at[: len(h)], at[len(h) :], np.arange(len(ids))
+        links = np.zeros(len(h), np.int64)
+        for s in range(0, len(g), GUESTS):  # the links of a few guests at a time become counts and a forest
+            p, q = may_link(codes, factor, unit_g[s : s + GUESTS], turn, least, DEVIATIONS)
             q = q + s
-            for t in range(0, len(p), 1 << 18):
-                pp, qq = p[t : t + (1 << 18)], q[t : t + (1 << 18)]
+            for t in range(0, len(p), PAIRS):
+                pp, qq = p[t : t + PAIRS], q[t : t + PAIRS]
                 ok = (cosine(hx[pp], gx[qq]) >= least) & (hid[pp] != gid[qq])
-                found_p.append(pp[ok])
-                found_q.append(qq[ok])
-        p, q = np.concatenate(found_p), np.concatenate(found_q)
-        if not len(p):
+                pp, qq = pp[ok], qq[ok]
+                links += np.bincount(pp, weights=copies[qq], minlength=len(h)).astype(np.int64)
+                low = joined_roots(low, at_h[pp], at_g[qq])
+        if not links.any():
             return none
-        links = np.bincount(p, weights=copies[q], minlength=len(h)).astype(np.int64)
-        ids, at = np.unique(np.concatenate([hid[p], gid[q]]), return_inverse=True)
-        a, b, low = at[: len(p)], at[len(p) :], np.arange(len(ids))
-        while True:  # smallest id reached inside the block
-            m = np.minimum(low[a], low[b])
-            new = low.copy()
-            np.minimum.at(new, a, m)
-            np.minimum.at(new, b, m)
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
         tree = low != np.arange(len(ids))
-        some = links > 0
+        some = links > 0  # the forest: each node with the smallest that it reaches inside the block
         return pd.DataFrame({
             "a": np.concatenate([ids[tree], hid[some]]), "b": np.concatenate([ids[low[tree]], hid[some]]),
             "n": np.concatenate([np.zeros(tree.sum(), np.int64), links[some]]),

@@ -284,3 +284,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(x.doc_id for x in out) == Counter(x.doc_id for x in docs.collect())
     assert {(x.doc_id, x.text) for x in out} == {(x.doc_id, x.text) for x in docs.collect()}
     assert all(x.n_tokens == len(x.ids) for x in out)
+
+
+def test_joined_roots_equal_a_plain_union():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        n, links = 40, []
+        low = np.arange(n)
+        for _ in range(4):
+            a, b = r.integers(0, n, 8), r.integers(0, n, 8)
+            low = vectors.joined_roots(low, a, b)
+            links += zip(a.tolist(), b.tolist(), strict=True)
+        root = list(range(n))
+        for x, y in links:
+            x, y = root[x], root[y]
+            root = [min(x, y) if v in (x, y) else v for v in root]
+        assert low.tolist() == root
