@@ -447,3 +447,31 @@ def test_quality_edges(spark):
     assert all(not x.kept and x.score == 0 for x in got if x.doc_id in (1, 2, 3, 7))
     assert quality.classify(make(spark, [])).count() == 0
     assert quality.keep_good(make(spark, []).selectExpr("*", "1 as score")).columns[-1] == "score"
+
+
+def test_factor_lengths():
+    r = random.Random(34)
+    for _ in range(30):
+        data = np.array([r.randrange(2) for _ in range(90)], np.uint8)
+        depth = r.randrange(1, 30)
+        n = len(data) - depth + 1
+        raw = data.tobytes()
+        same = lambda i, j: next((k for k in range(depth) if raw[i + k] != raw[j + k]), depth)  # noqa: E731, B023
+        levels = repeats.rank_levels(data, depth)
+        got = repeats.factor_lengths(data, levels, np.arange(n), np.arange(n))
+        assert got.tolist() == [max((same(i, j) for j in range(i)), default=0) for i in range(n)]
+        later = repeats.factor_lengths(data, levels, np.arange(n), -np.arange(n))
+        assert later.tolist() == [max((same(i, j) for j in range(i + 1, n)), default=0) for i in range(n)]
+
+
+def test_sketch_recall_at_the_threshold():
+    """Share of pairs at edit similarity 0.8 to 0.86 that meet in a bucket, by the five-word keys and by all."""
+    r = random.Random(35)
+    for n in (60, 150, 400):
+        pairs = []
+        for _ in range(60):
+            base = prose(r, n).split()
+            pairs += [" ".join(base), " ".join(edited(r, base, r.sample(range(n), int(n * r.uniform(0.14, 0.2)))))]
+        h, at = minhash.words(pairs)
+        keys = minhash.sketch(h, at)
+        assert (keys[::2] == keys[1::2]).any(1).mean() >= 0.95
