@@ -46,3 +46,16 @@ def test_group_rebalance_and_expiry(spark):
     assert (got[6].generation, got[6].protocol, got[6].leader, got[7].status) == (2, "sticky", "member-0", "stable")
     assert got[11].error_code == 27 and got[11].members == 1  # member-3 was silent for its session
     assert got[12].error_code == 25 and got[13].error_code == 0 and got[14].error_code == 23
+
+
+def test_last_missing_member_leaves(spark):
+    p = ["range"]
+    got = run_group(spark, [(0, "join", "", -1, p), (1, "join", "member-0", -1, p), (2, "sync", "member-0", 1, []), (3, "join", "", -1, p), (4, "join", "member-3", -1, p), (5, "leave", "member-0", 1, [])])
+    assert got[4].status == "preparing" and (got[5].status, got[5].generation, got[5].leader) == ("completing", 2, "member-3")
+
+
+def test_refused_batches_take_no_room(spark):
+    from millrace.operators import storage
+
+    b = spark.createDataFrame([(0, 0, 5000), (0, 1, 6000), (0, 2, 500)], "part int, base_offset long, size_bytes long")
+    assert [x.error_code for x in storage.admit(b, 9000, 1000).orderBy("base_offset").collect()] == [0, 56, 0]
