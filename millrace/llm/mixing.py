@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,9 +58,14 @@ def _copies(rows: DataFrame, n_rows: int, seed: int, cycle, share: float, cap: i
     cells = rows.groupBy("skey", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.first("source").alias("source"))
     sizes = cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = target_sizes(sizes, cycle, share, cap).withColumn("skey", _key("source")).drop("source")
-    earlier = Window.partitionBy("skey").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("skey", "cls", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    starts = starts.join(targets, "skey")
+    # cells in runs of about the square root of their number: runs get their start in the source, cells theirs in the run
+    cells = cells.withColumn("run", F.floor(F.col("bucket") / (math.isqrt(cells_each) + 1)))
+    earlier = Window.partitionBy("skey").orderBy("cls", "run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = cells.groupBy("skey", "cls", "run").agg(F.sum("n").alias("n"))
+    runs = runs.select("skey", "cls", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("run_start")).join(targets, "skey")
+    before = Window.partitionBy("skey", "cls", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("skey", "cls", "run", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("in_run"))
+    starts = starts.join(runs, ["skey", "cls", "run"]).withColumn("start", F.col("run_start") + F.col("in_run")).drop("run", "run_start", "in_run")
     inside = Window.partitionBy("skey", "cls", "bucket").orderBy("size", F.col("id").asc_nulls_last(), *tie)
     out = rows.join(starts, ["skey", "cls", "bucket"])
     offset = F.lit(random.Random(seed).randrange(1 << 20) / (1 << 20))
@@ -76,8 +82,9 @@ def mix_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
     target / source size; the prefix sum of these in a fixed order plus one random offset (from
     ``seed``) crosses integer boundaries, and each crossing is one copy. The order runs by
     power-of-two size class, then cell, then size, so that the words taken stay near the target.
-    Prefix sums are two-level (cells of about ``CELL_ROWS`` rows, then rows in a cell); a source
-    that holds most rows is spread over as many cells as it needs.
+    Prefix sums have three levels (runs of cells in a source, cells of about ``CELL_ROWS`` rows in a
+    run, rows in a cell); a source that holds most rows is spread over as many cells as it needs, and no
+    window task takes more than some square roots of the rows.
 
     Returns id, size, source_size, target, copies. Null texts have size 0, null sources form one
     source, sources without words take nothing, repeated rows count each, ties go by id, an empty
