@@ -16,8 +16,8 @@ SAMPLE, BOOKS, WORDS = 8192, 12, 128
 BEAM = 4
 #: Candidates of a shard that are computed exactly for each query.
 RERANK = 256
-#: Rows of a shard and queries of a block, about.
-SHARD, QUERIES = 16384, 2048
+#: Rows of a shard and queries of a block, about: the index is copied once for each block, a query once for each shard.
+SHARD, QUERIES = 16384, 16384
 
 
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
