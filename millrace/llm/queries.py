@@ -80,7 +80,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), dedup_bytes=0)
-    records = warc.read_archives(archives, with_payload=False)
+    records = warc.check_revisits(warc.read_archives(archives, with_payload=False))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -1,8 +1,10 @@
 """Operators on vectors and pages, and the pipeline, against brute force; edge cases."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import random
 import zipfile
 from collections import Counter
@@ -193,6 +195,54 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def foreign(kind, uri, block, mime="application/http; msgtype=response"):
+    head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Target-URI: {uri}\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("index", ["indexes/index.cdxj", "indexes/a.cdx.gz", None])
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_other_writers(spark, tmp_path, index, packed):
+    body = "<p>ü</p>".encode()
+    made = [foreign("warcinfo", "", b"x: y", "application/warc-fields"), foreign("response", "http://www.a.b/C?D", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body), foreign("resource", "http://e/", b"", "text/html")]
+    records = [gzip.compress(x) if packed else x for x in made]
+    name, lines, at = "odd name.warc" + ".gz" * packed, [], 0
+    for x in records:
+        lines.append(f'com,x)/ 2020 {{"offset": "{at}", "length": "{len(x)}", "filename": "{name}"}}')
+        at += len(x)
+    path = str(tmp_path / "a.wacz")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        z.writestr("archive/" + name, b"".join(records))
+        if index:
+            text = "\n".join(["!meta {}", *lines]).encode()
+            z.writestr(index, gzip.compress(text[:50]) + gzip.compress(text[50:]) if index.endswith("gz") else text)
+    got = warc.read_archives(spark.createDataFrame([(path,)], "path string")).collect()
+    assert [(x.record_type, x.url, bytes(x.payload), x.payload_bytes, x.page_id) for x in got] == [("warcinfo", "", b"x: y", 4, None), ("response", "http://www.a.b/C?D", body, len(body), None), ("resource", "http://e/", b"", 0, None)]
+
+
+def test_index_of_the_writer(spark):
+    pages = spark.createDataFrame([(i, f"http://www.h{9 - i}.org/P?q={i}", f"<p>{i // 2}</p>") for i in range(9)] + [(9, None, "x")], PAGES).coalesce(1)
+    [row] = warc.write_archives(pages).collect()
+    with zipfile.ZipFile(row.path.removeprefix("file://").replace("file:", "")) as z:
+        data, lines = z.read(warc.RECORDS), z.read(warc.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and len(lines) == 10 and lines[1].startswith("org,h1)/p?q=8 19700101000000 {")
+    for line in lines:
+        e = json.loads(line.split(" ", 2)[2])
+        fields, _ = warc.parse_record(data[e["offset"] : e["offset"] + e["length"]])
+        assert fields["Warc-Target-Uri"] == e["url"] and fields["Warc-Payload-Digest"] == e["digest"]
+
+
+def test_revisits_must_match(spark):
+    ddl = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
+    good = [(1, "u", "response", "A", 3, None), (2, "u", "revisit", "A", 3, 1), (None, "u", "revisit", "A", 3, 1)]
+    assert warc.check_revisits(spark.createDataFrame(good, ddl)).count() == 3
+    for bad in [(3, "u", "revisit", "B", 3, 1), (3, "u", "revisit", "A", 4, 1), (3, "u", "revisit", "A", 3, 2)]:
+        with pytest.raises(ValueError):
+            warc.check_revisits(spark.createDataFrame([*good, bad], ddl))
+    assert warc.check_revisits(spark.createDataFrame([], ddl)).count() == 0
+
+
 # ---------------------------------------------------------------- HTML
 
 
