@@ -106,12 +106,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small: at most ``rows`` rows each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Keep Arrow batches small: at most ``rows`` rows each, and closed once they hold ``size`` bytes.
+
+    A text longer than that has a batch of its own. Both are settings of the session that Spark reads when a
+    DataFrame runs, so they stay lowered after the call; values that are lower already are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

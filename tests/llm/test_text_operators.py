@@ -5,9 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, minhash, mixing, quality, repeats
+from millrace.llm import bpe, common, language, minhash, mixing, quality, repeats
 from millrace.llm.queries import rank_file, split_pattern
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -475,3 +477,27 @@ def test_sketch_recall_at_the_threshold():
         h, at = minhash.words(pairs)
         keys = minhash.sketch(h, at)
         assert (keys[::2] == keys[1::2]).any(1).mean() >= 0.95
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        common.bounded_batches(spark, 16, 1 << 20)
+        assert [spark.conf.get(k).rstrip("b") for k in keys] == ["16", str(1 << 20)]
+        common.bounded_batches(spark)  # what is lower stays
+        assert [spark.conf.get(k).rstrip("b") for k in keys] == ["16", str(1 << 20)]
+
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+        long = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("t"))
+        assert max(r.n for r in long.mapInArrow(count, "n long").collect()) <= 5
+        huge = spark.range(0, 3, 1, 1).select(F.repeat(F.lit("x"), 1 << 21).alias("t"))
+        assert [r.n for r in huge.mapInArrow(count, "n long").collect()] == [1, 1, 1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
