@@ -149,3 +149,37 @@ c as (select x, min(y) as c from reach group by x)
 select e.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c.c, e.vec_id) as component_id, coalesce(c.c, e.vec_id) = e.vec_id as kept
 from embeddings e left join n on n.x = e.vec_id left join c on c.x = e.vec_id
 """
+
+
+ORACLE["op3_nearest"] = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select a.vec_id as query_id, b.vec_id, list_cosine_similarity(a.e, b.e) as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 50 = 0),
+placed as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, rank::int as rank, vec_id, score from placed where rank <= 5
+"""
+
+
+ORACLE["op7_repeats"] = """
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+lengths as (select r, doc_id, b, octet_length(b)::bigint as n from d),
+places as (select r, unnest(range(1, n - 198)) as i from lengths where n >= 200),
+windows as (select p.r, p.i, l.b[p.i:p.i + 199] as s from places p join lengths l using (r)),
+twice as (select s from windows group by s having count(*) > 1),
+starts as (select r, i from windows where s in (select s from twice)),
+flags as (select r, i, coalesce(i - lag(i) over (partition by r order by i) > 200, true)::int as new from starts),
+runs as (select r, i, sum(new) over (partition by r order by i) as run from flags),
+spans as (select r, min(i) as low, max(i) + 199 as high from runs group by r, run),
+gaps as (
+  select s.r, s.low, hex(l.b[coalesce(lag(s.high) over (partition by s.r order by s.low), 0) + 1:s.low - 1]) as kept
+  from spans s join lengths l using (r)
+  union all select r, n + 1, hex(b[coalesce((select max(high) from spans s where s.r = l.r), 0) + 1:n]) from lengths l),
+kept as (select r, sha256(unhex(string_agg(kept, '' order by low))) as kept_sha256 from gaps group by r),
+gone as (select r, sum(high - low + 1) as n_removed, count(*) as n_spans from spans group by r)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, kept_sha256
+from lengths join kept using (r) left join gone using (r)
+"""
