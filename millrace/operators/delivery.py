@@ -171,17 +171,18 @@ def batch_errors(batches: DataFrame, producers: DataFrame) -> DataFrame:
     return b.withColumn("error_code", code)
 
 
-def producer_epochs(inits: DataFrame, max_timeout: int = 900_000) -> DataFrame:
+def producer_epochs(inits: DataFrame, max_timeout: int = 900_000, last_epoch: int | None = 32767) -> DataFrame:
     """Registrations in order: (error, epoch, producer): a known name gets the next epoch, and its own
-    producer id again until the epochs are used up; bad names and timeouts are refused."""
+    producer id again until the epochs are used up (``last_epoch``; None: they go on); bad names and timeouts are refused."""
     code = F.when(F.col("txn_id") == "", 53).when((F.col("timeout") <= 0) | (F.col("timeout") > max_timeout), 50).otherwise(0)
     rows = inits.withColumn("error_code", code)
     good = rows.where("error_code = 0")
-    w = Window.partitionBy("txn_id").orderBy("arrival")
-    nth = F.row_number().over(w) - 1
-    named = good.where("txn_id is not null").withColumn("epoch", F.pmod(nth, F.lit(32768)).cast("long")).withColumn("life", F.floor(nth / 32768))
-    firsts = named.where("epoch = 0").select("txn_id", "life", F.col("arrival").alias("producer"))
-    named = named.join(firsts, ["txn_id", "life"]).select("arrival", "txn_id", "error_code", "epoch", "producer")
+    nth = (F.row_number().over(Window.partitionBy("txn_id").orderBy(F.asc_nulls_last("arrival"))) - 1).cast("long")
+    lives = F.lit(0) if last_epoch is None else F.floor(nth / (last_epoch + 1))
+    named = good.where("txn_id is not null").withColumn("nth", nth).withColumn("life", lives)
+    named = named.withColumn("epoch", F.col("nth") if last_epoch is None else F.col("nth") % (last_epoch + 1))
+    named = named.withColumn("producer", F.min("arrival").over(Window.partitionBy("txn_id", "life")))
+    named = named.select("arrival", "txn_id", "error_code", "epoch", "producer")
     alone = good.where("txn_id is null").select("arrival", "txn_id", "error_code", F.lit(0).cast("long").alias("epoch"), F.col("arrival").alias("producer"))
     bad = rows.where("error_code <> 0").select("arrival", "txn_id", "error_code", F.lit(-1).cast("long").alias("epoch"), F.lit(-1).cast("long").alias("producer"))
     return named.unionByName(alone).unionByName(bad)

@@ -145,6 +145,23 @@ def test_sequences(spark):
     assert [r.n for r in one.collect()] == [0, 5, 0]
 
 
+def test_epochs_go_on_or_start_again(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import registry
+
+    rows = [(3, "a", 1), (5, "a", 1), (6, "a", 1), (8, "a", 0), (9, "a", 1), (9, None, 1), (10, "", 1), (11, "b", 1)]
+    inits = spark.createDataFrame(rows, "arrival long, txn_id string, timeout long")
+    got = sorted(tuple(r)[::4] + (r.epoch,) for r in delivery.producer_epochs(inits.where("txn_id = 'a'"), last_epoch=1).collect())
+    assert got == [(3, 3, 0), (5, 3, 1), (6, 6, 0), (8, -1, -1), (9, 6, 1)]
+    # more registrations of one name than there are epochs: the query counts on, as its SQL does
+    path = tmp_path / "orders.parquet"
+    duckdb.sql(f"copy (select i as o_orderkey, 7::bigint as o_custkey from range(1, 60000) t(i)) to '{path}' (format parquet)")
+    want = duckdb.sql(registry.ORACLE["producer_epochs"].replace("from orders", f"from '{path}'")).fetchall()
+    got = registry.QUERIES["producer_epochs"](spark, str(tmp_path)).select("arrival", "txn_id", "error_code", "epoch", "producer").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r.epoch for r in got) > 32767
+
+
 def test_group_choices(spark):
     m = spark.createDataFrame([("g", "a", 1, ["x", "y"], 900), ("g", "b", 2, ["y", "x"], 1500), ("h", "c", 1, ["x"], 1), ("h", "d", 2, ["y"], 1)], "group_id string, member_id string, joined long, protocols array<string>, rebalance_timeout long")
     assert {x.group_id: x.protocol for x in groups.chosen_protocol(m).collect()} == {"g": "x", "h": None}
