@@ -277,6 +277,36 @@ def near_classes(spark, texts):
     return {x.doc_id: x.class_id for x in minhash.near_duplicates(make(spark, rows)).collect()}
 
 
+@pytest.mark.parametrize("block", [16, 4])
+def test_large_buckets_lose_no_pair(spark, monkeypatch, block):
+    # every second word of the own parts differs: pairs at 0.8 that meet in buckets of the common passage only
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(34)
+    passage = prose(r, 240).split()
+    own = [prose(r, 160).split() for _ in range(60)]
+    texts = [passage + w for w in own] + [passage + edited(r, w, range(0, 160, 2)) for w in own[10:50]]
+    texts += [passage + edited(r, own[59], r.sample(range(160), 3)) for _ in range(20)]  # a large class in the same buckets
+    got = near_classes(spark, texts)
+    assert [got[60 + k] for k in range(40)] == list(range(10, 50))
+    assert {got[100 + k] for k in range(20)} == {59} and len(set(got.values())) == 60
+
+
+def test_similar_texts_share_a_rare_gram():
+    r = random.Random(35)
+    for seed in range(400):
+        least = r.choice([0.8, 0.8, 0.9, 0.75, 0.6])
+        a = [r.randrange(r.choice([4, 40, 400])) for _ in range(r.choice([2, 4, 5, 10, 19, 20, 24, 25, 26, 30, 60]))]
+        b = list(a)
+        for _ in range(r.randrange(int((1 - least) * len(a) + 1e-9) + 2)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = [r.randrange(400)] * r.randrange(2)
+        if a == b or not b or not minhash.similar(np.array(a, np.uint32), np.array(b, np.uint32), least):
+            continue
+        counts = np.random.default_rng(seed).integers(0, 5, 64).astype(np.uint32)
+        text, label = minhash.rare_grams(minhash.mix(np.array(a + b, np.uint64)), np.array([0, len(a), len(a) + len(b)]), least, counts)
+        assert set(label[text == 0]) & set(label[text == 1])
+
+
 def test_equal_filters_lose_no_pair():
     r = random.Random(33)
     for _ in range(300):
