@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, ship
+from .common import bounded_batches, chunks, settle, ship
 from .grams import fit_logistic, gram_vectors, margins
 
 GOOD, BAD, PASS = 1, 0, 2
@@ -162,6 +162,9 @@ def _scored(docs: DataFrame, id_col: str, text_col: str):
     if len(rows):
         x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
         weights = fit_logistic(x, rows["p"].to_numpy(np.float32))
+        del x
+    del rows
+    settle(spark)
     given = spark.sparkContext.broadcast((weights, posterior))
 
     def score(texts: list) -> tuple[list[float], list[float]]:
