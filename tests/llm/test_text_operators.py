@@ -290,6 +290,38 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch, block):
     assert [got[60 + k] for k in range(40)] == list(range(10, 50))
     assert {got[100 + k] for k in range(20)} == {59} and len(set(got.values())) == 60
 
+def test_cells_give_links_not_pairs(spark, monkeypatch):
+    # 300 texts share a passage of half their words and fall into 10 groups that no earlier link joins: 45 links are
+    # possible in a cell of all, and pairs are 300 * 270 / 2
+    monkeypatch.setattr(minhash, "BLOCK", 512)
+    r = random.Random(36)
+    groups = [prose(r, 100).split() for _ in range(10)]
+    texts = [edited(r, groups[i % 10], r.sample(range(100), 4)) for i in range(300)]
+    codes = {w: i for i, w in enumerate(WORDS)}
+    packed = [np.array([codes[w] for w in t], np.uint32) for t in texts]
+    lists = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(packed)], "doc_id long, words binary")
+    rows = [(k, i, i, 300) for k in (7, 8) for i in range(300)]
+    links = minhash._gram_links(spark.createDataFrame(rows, "key long, rep long, class long, m long"), lists, 0.8).collect()
+    assert all(x.a % 10 == x.b % 10 for x in links) and len({(x.a, x.b) for x in links}) < 2 * 300
+    root = list(range(300))
+    for x in links:
+        a, b = root[x.a], root[x.b]
+        root = [min(a, b) if v in (a, b) else v for v in root]
+    assert root == [i % 10 for i in range(300)]
+
+
+def test_bounds_of_many_pairs_lose_none():
+    r = random.Random(37)
+    texts = []
+    for _ in range(40):
+        a = [r.randrange(r.choice([5, 50, 500])) for _ in range(r.choice([1, 2, 3, 8, 20, 60, 400]))]
+        for share in (0, 0.1, 0.2, 0.3):
+            texts.append(np.array([r.randrange(500) if r.random() < share else w for w in a], np.uint32))
+    one, two = np.triu_indices(len(texts), 1)
+    may = minhash.Near(texts, 0.8).may(one, two)
+    wanted = np.array([minhash.similar(texts[a], texts[b]) for a, b in zip(one, two, strict=True)])
+    assert wanted.sum() > 60 and not (wanted & ~may).any() and may.sum() < len(may) / 10
+
 
 def test_similar_texts_share_a_rare_gram():
     r = random.Random(35)
