@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, paused_collector, ship
+from .common import bounded_batches, chunks, paused_collector, ship, worker_cache
 
 #: States that the transducer keeps, and words whose ids a worker remembers; both start anew when full.
 MAX_STATES = 200_000
@@ -361,7 +361,7 @@ def text_digest(pieces: Iterable[str]) -> str:
     return h.hexdigest()
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = worker_cache()
 
 
 def _codec(data: bytes, pattern: str) -> Codec:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, settle, ship
+from .common import bounded_batches, chunks, drop_caches, settle, ship
 from .grams import fit_logistic, gram_vectors, margins
 
 GOOD, BAD, PASS = 1, 0, 2
@@ -134,6 +134,7 @@ def _scored(docs: DataFrame, id_col: str, text_col: str):
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("order"))
 
     def look(batches):
+        drop_caches()
         for batch in batches:
             text = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([pattern(measures(t or "")) for t in text], pa.int64()), batch.column(1)], names=["pattern", "order"])
@@ -146,6 +147,7 @@ def _scored(docs: DataFrame, id_col: str, text_col: str):
     shares = [min(scale, -(-EACH * scale // n)) for n in total]
 
     def sample(batches):
+        drop_caches()
         for pdf in batches:
             for part in chunks(list(pdf.itertuples(index=False)), lambda r: len(r.text or ""), CHUNK_CHARS):
                 found = [measures(r.text or "") for r in part]
@@ -202,6 +204,7 @@ def classify(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float
     kind = docs.select(F.col(id_col)).dtypes[0][1]
 
     def run(batches):
+        drop_caches()
         for batch in batches:
             s, p = score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(s, pa.float64()), pa.array([v >= least for v in s], pa.bool_())], names=["doc_id", "weak_label", "score", "kept"])
@@ -216,6 +219,7 @@ def keep_good(docs: DataFrame, *, id_col="doc_id", text_col="text", least: float
     at = docs.columns.index(text_col)
 
     def run(batches):
+        drop_caches()
         for batch in batches:
             s, _ = score(batch.column(at).to_pylist())
             yield batch.filter(pa.array([v >= least for v in s], pa.bool_()))

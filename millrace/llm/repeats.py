@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, prefix
-from .common import bounded_batches, chunks, materialise, paused_collector, release, settle, ship
+from .common import bounded_batches, chunks, drop_caches, materialise, paused_collector, release, settle, ship
 
 #: Bytes that make a repeat.
 LENGTH = 200
@@ -189,6 +189,7 @@ def _candidates(texts: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("o", pa.int64()), ("c1", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
+        drop_caches()
         with paused_collector():
             for batch in batches:
                 rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
@@ -235,6 +236,7 @@ def _slices(texts: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(c1, pa.int64()), *cols], schema=schema)
 
     def run(batches):
+        drop_caches()
         with paused_collector():
             rows, size = [], 0
             for batch in batches:
@@ -279,6 +281,7 @@ def _cut(wanted: DataFrame, cut: DataFrame, length: int, windows: bool) -> DataF
                 yield o, c1, s1, s1, s2, s["lo"] + k, 1, None
 
     def run(batches):
+        drop_caches()
         with paused_collector():
             rows, size = [], 0
             for batch in batches:
@@ -325,6 +328,7 @@ def _solved(body: DataFrame, length: int, keep: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def match(batches):
+        drop_caches()
         with paused_collector():
             held, size = [], 0
             for batch in batches:  # sorted by anchor: an array may end wherever the anchor changes
@@ -491,6 +495,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
         def run(batches):
+            drop_caches()
             for batch in batches:
                 out = []
                 for i, (raw, gone, kept) in zip(batch.column(0).to_pylist(), left(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)), strict=True):
@@ -504,6 +509,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length:
     kind = joined.schema["doc"].dataType.simpleString()
 
     def cut(batches):
+        drop_caches()
         for batch in batches:
             texts = [kept.decode("utf-8", "ignore") for _, _, kept in left(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "cut"])

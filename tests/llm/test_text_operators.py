@@ -563,3 +563,21 @@ def test_batches_are_bounded_in_bytes(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_workers_drop_what_other_operators_kept(spark, monkeypatch):
+    # Python workers serve later stages too: the encoder's tables are not to stay beside another operator's memory
+    class Caught:
+        columns, schema = ["doc_id", "text"], None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two three"])], names=["doc_id", "text"])
+    monkeypatch.setattr(quality, "_scored", lambda *_: lambda texts: ([1.0] * len(texts), [1.0] * len(texts)))
+    for run in (minhash._sketches(Caught(), "doc_id", "text", 0.8), quality.keep_good(Caught())):
+        bpe._codecs["left"] = object()
+        assert len(list(run(iter([batch])))) == 1 and not bpe._codecs
