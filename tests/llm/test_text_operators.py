@@ -323,6 +323,41 @@ def test_bounds_of_many_pairs_lose_none():
     assert wanted.sum() > 60 and not (wanted & ~may).any() and may.sum() < len(may) / 10
 
 
+def test_edit_distances_and_links_of_many_texts_at_once(monkeypatch):
+    r = random.Random(17)
+    for _ in range(60):
+        some = [np.array([r.randrange(9) for _ in range(r.choice([0, 1, 7, 63, 64, 90]))], np.uint32) for _ in range(5)]
+        assert minhash.edit_distances(some[0], some[1:]).tolist() == [edits(some[0].tolist(), x.tolist()) for x in some[1:]]
+    # a common passage and ends of the same words in other order: bounds allow all pairs, a few are similar
+    passage, end = [r.randrange(300) for _ in range(80)], list(range(300, 340))
+    texts = [np.array(passage + r.sample(end, 40), np.uint32) for _ in range(20)]
+    texts += [np.append(t[:-5], np.array([r.randrange(300) for _ in range(5)], np.uint32)) for t in texts[:10]]
+    one, two = np.triu_indices(len(texts), 1)
+    wanted = np.arange(len(texts))
+    for a, b in zip(one.tolist(), two.tolist(), strict=True):
+        if wanted[a] != wanted[b] and edits(texts[a].tolist(), texts[b].tolist()) <= 24:
+            wanted[wanted == wanted[b]] = wanted[a]
+    alone = []
+    monkeypatch.setattr(minhash, "similar", lambda a, b, least: alone.append(1) or edits(a.tolist(), b.tolist()) <= 24)
+    root = np.arange(len(texts))
+    assert minhash.Near(texts, 0.8).links(one, two, root)
+    assert (root[one] == root[two]).tolist() == (wanted[one] == wanted[two]).tolist()
+    assert len(alone) < len(one) / 4  # the others were aligned together
+
+
+def test_texts_without_partner_bring_no_words(spark):
+    r = random.Random(18)
+    words = lambda: [r.randrange(1 << 31) for _ in range(100)]
+    texts = [words() for _ in range(60)]
+    texts[41] = texts[7][:95] + words()[:5]
+    counts = minhash.spare_counts(minhash.mix(np.array(texts, np.uint64).ravel()), np.arange(0, 6001, 100), 256)
+    has = minhash.with_partner(np.full(60, 100), counts, [[1]] * 60, np.arange(60), None, 0.8)
+    assert np.flatnonzero(has).tolist() == [7, 41]
+    rows = [(k % 50, k, k % 7 if k % 50 != 3 else 9) for k in range(3000)]
+    got = minhash._met(spark.createDataFrame(rows, "key long, rep long, class long")).collect()
+    assert sorted(map(tuple, got)) == sorted(x for x in rows if x[0] != 3)
+
+
 def test_similar_texts_share_a_rare_gram():
     r = random.Random(35)
     for seed in range(400):
